@@ -2,9 +2,9 @@
 
 A source whose target is r times its size takes every document floor(r) times, and once more a balanced sample in which
 each document has inclusion probability r - floor(r). The flight moves the vector of probabilities along the null space
-of the two balancing constraints (token total, document count), three documents at a time, until at most two fractional
-ones are left in each block; the left-overs of all blocks fly again, level by level, and the last two of a source are
-landed with the smallest expected token error. Blocks hold about 16,384 rows whatever the source, so a hot source is cut
+of the two balancing constraints (token total, document count), three documents of one size class at a time, until at
+most two fractional ones are left of each class in each block; the left-overs of all blocks fly again, level by level,
+and the last few of a source are landed with the smallest token error. Blocks hold about 16,384 rows whatever the source, so a hot source is cut
 into many blocks.
 
 Defined results: null text has size 0 and is taken like any other document (its words are 0); a source of size 0 has
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from lipika.llm.common import materialize
 
 BLOCK_ROWS = 16_384
+#: Fractions that a block leaves at most: two in each size class.
+LEFT_ROWS = 64
+LANDING_BEAM = 256
 MAX_REPEAT = 3
 #: Up to so many sources, their table is sent to every executor; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
@@ -51,10 +54,23 @@ def targets(sizes: list[int], total: int | None = None, weights: list[int] | Non
 
 
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
-    """Cube sampling of one block. Fractions left: at most two, none when `land`."""
+    """Cube sampling of one block, size class by size class (powers of two).
+
+    A class leaves at most two fractions. Within a class sizes are alike, so no large document lingers among small
+    ones, and the fractions left over have sizes from small to large, with which the landing can meet the totals.
+    """
     p = p.astype(float).copy()
     p[p < 1e-9], p[p > 1 - 1e-9] = 0, 1
-    queue = np.flatnonzero((p > 0) & (p < 1)).tolist()
+    left: list[int] = []
+    stratum = np.log2(size.astype(float) + 1).astype(int)
+    for s in np.unique(stratum)[::-1]:
+        left += _fly_class(p, size, np.flatnonzero((stratum == s) & (p > 0) & (p < 1)).tolist(), rng)
+    if land and left:
+        _land(p, size, sorted(left, key=lambda i: -size[i]))
+    return p
+
+
+def _fly_class(p: np.ndarray, size: np.ndarray, queue: list[int], rng: np.random.Generator) -> list[int]:
     draws = rng.random(len(queue) + 2)
     active: list[int] = []
     k = step = 0
@@ -63,9 +79,10 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool
             active.append(queue[k])
             k += 1
         if len(active) < 3:
-            break
+            return active
         a, b, c = active
         sa, sb, sc = float(size[a]), float(size[b]), float(size[c])
+        # the null space of the token row and the document row, for three documents
         u = (sb - sc, sc - sa, sa - sb) if sa != sb or sb != sc else (1.0, -1.0, 0.0)
         at = (p[a], p[b], p[c])
         up = min((1 - x) / v if v > 0 else -x / v for x, v in zip(at, u, strict=True) if v)
@@ -77,36 +94,21 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool
         for i, x in enumerate(new):
             p[active[i]] = round(x) if i in ends else x
         active = [x for i, x in enumerate(active) if i not in ends]
-    if land and active:
-        _land(p, size, active, float(rng.random()))
-    return p
 
 
-def _land(p: np.ndarray, size: np.ndarray, active: list[int], draw: float) -> None:
-    """Settle one or two fractions: of the designs with these probabilities, that of least expected token error."""
-    if len(active) == 1:
-        p[active[0]] = float(draw < p[active[0]])
-        return
-    a, b = active
-    x, y = p[a], p[b]
-    goal = x * size[a] + y * size[b]
-    cost = {(i, j): abs(i * size[a] + j * size[b] - goal) for i in (0, 1) for j in (0, 1)}
-    # the joint probability of both is the one free parameter; the cost is linear in it, so an end is best
-    designs = [{(1, 1): q, (1, 0): x - q, (0, 1): y - q, (0, 0): 1 - x - y + q} for q in (max(0.0, x + y - 1), min(x, y))]
-    best = min(designs, key=lambda d: sum(w * cost[s] for s, w in d.items()))
-    for s, w in best.items():
-        draw -= w
-        if draw < 0:
-            break
-    else:
-        s = max(best, key=best.get)
-    p[a], p[b] = s
+def _land(p: np.ndarray, size: np.ndarray, left: list[int]) -> None:
+    """Settle the last fractions, largest first: the choice of least token error, then least document error (beam search)."""
+    beam: list[tuple[float, float, tuple[int, ...]]] = [(0.0, 0.0, ())]
+    for i in left:
+        beam = [(tokens + (x - p[i]) * float(size[i]), docs + x - p[i], (*chosen, x)) for tokens, docs, chosen in beam for x in (0, 1)]
+        beam = sorted(beam, key=lambda t: (abs(t[0]), abs(t[1]), t[2]))[:LANDING_BEAM]
+    for i, x in zip(left, beam[0][2], strict=True):
+        p[i] = x
 
 
 def _fly(units: DataFrame, blocks: int, seed: int, land: bool) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        # large documents settle first, so the fractions left to the landing are of the smallest
-        pdf = pdf.sort_values(["size", "rank", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last")
+        pdf = pdf.sort_values(["rank", "doc_id", "size"], kind="stable", na_position="last")
         rng = np.random.default_rng([seed, blocks, int(pdf["block"].iloc[0]), int(pdf["rank"].iloc[0]) & (2**63 - 1), int(pdf["source_no"].iloc[0])])
         return pdf.assign(p=flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(), rng, land))
 
@@ -143,7 +145,7 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
         fixed = (F.col("p") == 0) | (F.col("p") == 1)
         settled.append(flown.where(fixed))
         units = flown.where(~fixed)
-        blocks = blocks * 2 // BLOCK_ROWS or 1
+        blocks = blocks * LEFT_ROWS // BLOCK_ROWS or 1
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
