@@ -29,6 +29,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lipika.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lipika.llm.sharding import shard_documents
 
@@ -36,7 +42,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_decontamination, op8_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_decontamination, op4_neardup, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
