@@ -35,6 +35,12 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lipika.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lipika.llm.sharding import shard_documents
 
@@ -42,7 +48,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_decontamination, op4_neardup, op8_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_decontamination, op4_neardup, op7_quality, op8_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
