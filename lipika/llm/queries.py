@@ -35,6 +35,12 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lipika.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lipika.llm.quality import quality
 
@@ -47,8 +53,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lipika.llm.lmscore import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_decontamination, op4_neardup, op7_quality, op8_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_decontamination, op4_neardup, op5_langid, op7_quality, op8_sharding, op10_lmscore)}
 
 
 def oracle_sql() -> dict[str, str]:
