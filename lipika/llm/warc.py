@@ -103,20 +103,28 @@ def _manifest_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _writer(root: str, roll: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (shard, page_id, url); a shard is whole within its task."""
-        roller = None
-        seen: tuple = ()
+        """Rows come sorted by (shard, page_id, kind); a shard is whole within its task.
+
+        Rows of kind 0 precede a page and name the response of its payload; pages that none precedes are unlike all others.
+        """
+        roller, at, keepers, seen = None, object(), {}, set()
         for b in batches:
             rows: list[tuple] = []
-            for shard, page_id, url, html, sha1, keeper, alone in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            for shard, page_id, kind, url, html, sha1, size, keeper in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if page_id != at:
+                    at, keepers, seen = page_id, {}, set()
+                if not kind:
+                    keepers[sha1, size] = keeper
+                    continue
                 if roller is None or roller.shard != shard:
                     rows += roller.close() if roller else []
                     roller = _Roller(root, shard, roll)
                 payload = (html or "").encode()
-                repeat = seen == (page_id, sha1, len(payload))
-                seen = (page_id, sha1, len(payload))
-                revisit = not alone and (page_id != keeper or repeat) and keeper is not None
-                rows += roller.add(page_id, _member(_record(page_id, url, payload, sha1, keeper if revisit else None, revisit, _target(page_id, url))))
+                keeper = keepers.get((sha1, size))
+                revisit = keeper is not None and (page_id != keeper or (sha1, size) in seen)
+                seen.add((sha1, size))
+                sha1_32 = base64.b32encode(bytes.fromhex(sha1)).decode()
+                rows += roller.add(page_id, _member(_record(page_id, url, payload, sha1_32, keeper if revisit else None, revisit, _target(page_id, url))))
             if rows:
                 yield _manifest_batch(rows)
         if roller and (rows := roller.close()):
@@ -171,25 +179,12 @@ def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, roll: int = ROLL
     shard = F.lit(len(bounds))
     if bounds:
         shard = F.when(F.col("page_id").isNull(), len(bounds)).otherwise(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("page_id"))))
-    rows = src.withColumn("bytes", size).withColumn("sha1", F.sha1(F.coalesce("html", F.lit("")))).withColumn("shard", shard.cast("int"))
-    rows = rows.join(same, ["sha1", "bytes"], "left")
-    rows = rows.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "url", "sha1")
-    listed = rows.select("shard", "page_id", "url", "html", "sha1", "keeper", F.col("n").isNull().alias("alone")).mapInArrow(_b32(_writer(root, roll)), MANIFEST)
-    return commit(listed, root)
-
-
-def _b32(run):
-    """Digests travel as hex from the JVM's SHA-1 and are written as base32."""
-
-    def wrapped(batches):
-        def turned():
-            for b in batches:
-                d = pa.array([base64.b32encode(bytes.fromhex(x)).decode() for x in b.column(4).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([d if i == 4 else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
-
-        return run(turned())
-
-    return wrapped
+    shard = shard.cast("int").alias("shard")
+    # the payloads are shuffled once: what they need to know of their copies comes as rows that sort before them
+    copies = sums.join(same, ["sha1", "bytes"]).select(shard, "page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha1", "bytes", "keeper").distinct()
+    rows = src.select(shard, "page_id", F.lit(1).alias("kind"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha1"), size.alias("bytes"), F.lit(None).cast("long").alias("keeper"))
+    rows = copies.unionByName(rows).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "kind", "url", "sha1")
+    return commit(rows.mapInArrow(_writer(root, roll), MANIFEST), root)
 
 
 def commit(listed: DataFrame, root: str) -> DataFrame:
