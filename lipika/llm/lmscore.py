@@ -1,9 +1,10 @@
 """Subword lattice likelihood of documents.
 
-The pieces of an existing subword vocabulary have unigram probabilities from their stored ranks (Zipf-Mandelbrot). Every
-segmentation of a word into pieces counts: a forward recursion in log space sums their probabilities, and a document's
-score is the sum over its words plus the end. Word frequencies, and the rate at which texts end, are learned from the
-training documents; they also give the add-one base score.
+The pieces of an existing subword vocabulary have unigram scores. Every segmentation of a word into pieces counts: a
+forward recursion in log space sums their probabilities, and a document's score is the sum over its words plus the end.
+The stored scores are merge ranks, not probabilities; they are read as Zipf-Mandelbrot weights and re-weighted once by the
+pieces' expected counts in the training documents' words (all of them). The vocabulary itself stays as it is. Word
+frequencies and the rate at which texts end come from the training documents too; they also give the add-one base score.
 
 Layout: one pass turns the corpus into blocks of about BLOCK_BYTES (the block's different words, and its documents as word
 numbers). Each different word is counted and scored once over the whole corpus, joined back to the blocks it occurs in,
@@ -60,20 +61,74 @@ def normalise(ranks: list[tuple[bytes, float]], last: int) -> dict[bytes, float]
     return {k: math.log(v / total) for k, v in weight.items()}
 
 
-def log_marginal(word: bytes, pieces: dict[bytes, float], longest: int) -> float:
+def prefix_table(pieces: dict[bytes, float]) -> dict[bytes, float | None]:
+    """The pieces, and None for byte strings that only begin one."""
+    table: dict[bytes, float | None] = {}
+    for p in pieces:
+        for k in range(1, len(p)):
+            table.setdefault(p[:k], None)
+    return table | pieces
+
+
+def log_marginal(word: bytes, table: dict[bytes, float | None]) -> float:
     """Log of the summed probability of all segmentations, by forward recursion."""
     n = len(word)
-    alpha = [0.0] * (n + 1)
-    get = pieces.get
-    for j in range(1, n + 1):
-        terms = []
-        for i in range(max(0, j - longest), j):
-            p = get(word[i:j])
+    terms: list[list[float]] = [[] for _ in range(n + 1)]
+    a = 0.0
+    for i in range(n):
+        if i:
+            t = terms[i]
+            top = max(t)
+            a = top if len(t) == 1 else top + math.log(sum([math.exp(x - top) for x in t]))
+        for j in range(i + 1, n + 1):
+            piece = word[i:j]
+            if piece not in table:
+                break
+            p = table[piece]
             if p is not None:
-                terms.append(alpha[i] + p)
-        top = max(terms)
-        alpha[j] = top if len(terms) == 1 else top + math.log(sum([math.exp(x - top) for x in terms]))
-    return alpha[n]
+                terms[j].append(a + p)
+    t = terms[n]
+    top = max(t)
+    return top + math.log(sum([math.exp(x - top) for x in t]))
+
+
+#: Longer words are cut for the expected counts only, so that products of probabilities stay in range.
+EXPECT_BYTES = 40
+SMOOTHING = 0.1
+
+
+def expected_counts(words: Iterator[tuple[bytes, int]], table: dict[bytes, float | None]) -> dict[bytes, float]:
+    """Expected occurrences of every piece over all segmentations of the counted words (forward-backward)."""
+    prob = {k: None if v is None else math.exp(v) for k, v in table.items()}
+    out: dict[bytes, float] = {}
+    for whole, c in words:
+        for at in range(0, len(whole), EXPECT_BYTES):
+            word = whole[at : at + EXPECT_BYTES]
+            n = len(word)
+            fwd = [1.0] + [0.0] * n
+            arcs = []
+            for i in range(n):
+                a = fwd[i]
+                for j in range(i + 1, n + 1):
+                    piece = word[i:j]
+                    if piece not in prob:
+                        break
+                    p = prob[piece]
+                    if p is not None:
+                        fwd[j] += a * p
+                        arcs.append((i, j, p, piece))
+            bwd = [0.0] * n + [1.0]
+            scale = c / fwd[n]
+            for i, j, p, piece in reversed(arcs):
+                x = p * bwd[j]
+                bwd[i] += x
+                out[piece] = out.get(piece, 0.0) + fwd[i] * x * scale
+    return out
+
+
+def reweigh(pieces: dict[bytes, float], expected: dict[bytes, float]) -> dict[bytes, float]:
+    total = sum(expected.values()) + SMOOTHING * len(pieces)
+    return {k: math.log((expected.get(k, 0.0) + SMOOTHING) / total) for k in pieces}
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -111,12 +166,21 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block += 1
 
 
+def _expect(pieces):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = prefix_table(pieces.value)
+        rows = ((START + w.encode(), c) for b in batches for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        got = expected_counts(rows, table)
+        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.float64())], names=["piece", "n"])
+
+    return run
+
+
 def _lattice(pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces.value
-        longest = max(map(len, table))
+        table = prefix_table(pieces.value)
         for b in batches:
-            score = [log_marginal(START + w.encode(), table, longest) for w in b.column(0).to_pylist()]
+            score = [log_marginal(START + w.encode(), table) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(score, pa.float64())], names=["hash", "c", "logp"])
 
     return run
@@ -165,9 +229,12 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held"))
     blocks = materialize(src.mapInArrow(_encode, BLOCKS), "lm-blocks", compression="zstd")
     rows = blocks.select("block", F.expr("inline(arrays_zip(words, hashes, train))")).toDF("block", "word", "hash", "train")
-    # the vocabulary is a fixed table
-    pieces = spark.sparkContext.broadcast(load_pieces(vocabulary))
-    counts = materialize(rows.groupBy("word", "hash").agg(F.sum("train").alias("c")).mapInArrow(_lattice(pieces), "hash long, c long, logp double"), "lm-words")
+    words_ = materialize(rows.groupBy("word", "hash").agg(F.sum("train").alias("c")), "lm-counts")
+    # the vocabulary is a fixed table, and so are its weights
+    pieces = load_pieces(vocabulary)
+    expected = words_.where("c > 0").select("word", "c").mapInArrow(_expect(spark.sparkContext.broadcast(pieces)), "piece binary, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    pieces = reweigh(pieces, {bytes(r["piece"]): r["n"] for r in sorted(expected, key=lambda r: bytes(r["piece"]))})
+    counts = materialize(words_.mapInArrow(_lattice(spark.sparkContext.broadcast(pieces)), "hash long, c long, logp double"), "lm-words")
     words, tokens = counts.agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0))).first()
     train_docs = blocks.select(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
     sums = _sum_up(train_docs, tokens + train_docs, words + (train_docs > 0))

@@ -53,6 +53,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lipika.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lipika.llm.lmscore import score_documents
 
@@ -60,7 +66,7 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_decontamination, op4_neardup, op5_langid, op7_quality, op8_sharding, op10_lmscore)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_decontamination, op4_neardup, op5_langid, op7_quality, op8_sharding, op9_licenses, op10_lmscore)}
 
 
 def oracle_sql() -> dict[str, str]:
