@@ -266,9 +266,11 @@ def cross_pairs(placed: DataFrame, threshold: float) -> DataFrame:
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stay: of each class, the document of smallest doc_id; columns unchanged."""
-    classes = near_duplicates(docs, threshold)
-    stay = materialize(classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_n")), "stay")
-    kept = docs.join(stay, F.col("doc_id") == F.col("_stay"))
-    if stay.where("_n > 1").limit(1).count():  # repeated rows
-        kept = kept.dropDuplicates(["_stay"])
+    classes = materialize(near_duplicates(docs, threshold), "classes")
+    # the few that go are joined, not the many that stay
+    gone = classes.where("not (doc_id <=> class_id)").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    if classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        # repeated rows: one of them stays
+        kept = kept.withColumn("_id", F.coalesce("doc_id", F.monotonically_increasing_id() - F.lit(2**62))).dropDuplicates(["_id"])
     return kept.select(docs.columns)

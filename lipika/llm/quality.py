@@ -240,32 +240,43 @@ def _by_row(lines: Lines, value: np.ndarray) -> np.ndarray:
     return np.bincount(lines.row, weights=value, minlength=lines.n_rows).astype(np.int64)
 
 
+def _judge(ids: pa.Array, i: int, j: int, data: np.ndarray, off: np.ndarray, model) -> list:
+    """The columns of SCHEMA for rows i to j of a batch."""
+    words, prefix = word_hashes(data, off, "space")
+    lines = Lines(data, off)
+    x, dup = line_features(data, lines, words)
+    n = np.diff(prefix)
+    y = viterbi(x, np.searchsorted(lines.row, np.arange(lines.n_rows + 1)), *model)
+    total = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    chars = np.append(0, np.cumsum(total[lines.words_end] - total[lines.words_start]))
+    repeat = _repeat_words(words, prefix)
+    share = _by_row(lines, lines.words * y) / np.maximum(n, 1)
+    failed = (n < MIN_WORDS) | (100 * repeat > 100 * MAX_REPEAT_SHARE * n)
+    has = lines.words > 0
+    return [ids[i:j], n, chars[prefix[1:]] - chars[prefix[:-1]], _by_row(lines, lines.symbols), _by_row(lines, dup), repeat, failed, ~failed & (share >= MIN_CONTENT), share, _by_row(lines, has), _by_row(lines, has & (y == 1))]
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, trans = model
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
-            ids = batch.column(0)
             for i, j, data, off in text_chunks(batch, limit=1_000_000):
-                words, prefix = word_hashes(data, off, "space")
-                lines = Lines(data, off)
-                x, dup = line_features(data, lines, words)
-                n = np.diff(prefix)
-                row_start = np.searchsorted(lines.row, np.arange(lines.n_rows + 1))
-                y = viterbi(x, row_start, w, trans)
-                total = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-                chars = np.append(0, np.cumsum(total[lines.words_end] - total[lines.words_start]))
-                repeat = _repeat_words(words, prefix)
-                content = _by_row(lines, lines.words * y)
-                share = content / np.maximum(n, 1)
-                failed = (n < MIN_WORDS) | (100 * repeat > 100 * MAX_REPEAT_SHARE * n)
-                has = lines.words > 0
-                cols = [ids[i:j], n, chars[prefix[1:]] - chars[prefix[:-1]], _by_row(lines, lines.symbols), _by_row(lines, dup), repeat, failed, ~failed & (share >= MIN_CONTENT), share, _by_row(lines, has), _by_row(lines, has & (y == 1))]
+                cols = _judge(batch.column(0), i, j, data, off, model)
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
 
     return run
 
 
+def _keep(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [_judge(batch.column(0), i, j, data, off, model)[7] for i, j, data, off in text_chunks(batch, limit=1_000_000)]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return run
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """Train the field on the lines of at most `sample` documents, those with the smallest id hashes."""
     ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
@@ -286,3 +297,8 @@ def quality(docs: DataFrame) -> DataFrame:
     """Counts, base rules and the field's verdict of every row of docs (doc_id, text)."""
     src = docs.select(F.col("doc_id").cast("long"), "text")
     return src.mapInArrow(_score(fit(docs)), SCHEMA)
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, all columns unchanged; decided row by row, without a shuffle."""
+    return docs.mapInArrow(_keep(fit(docs)), docs.schema)

@@ -41,6 +41,12 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lipika.llm.rollup import token_rollup
+
+    return token_rollup(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lipika.llm.quality import quality
 
@@ -66,7 +72,7 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_decontamination, op4_neardup, op5_langid, op7_quality, op8_sharding, op9_licenses, op10_lmscore)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_decontamination, op4_neardup, op5_langid, op6_token_rollup, op7_quality, op8_sharding, op9_licenses, op10_lmscore)}
 
 
 def oracle_sql() -> dict[str, str]:

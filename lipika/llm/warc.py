@@ -183,7 +183,7 @@ def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, roll: int = ROLL
     # the payloads are shuffled once: what they need to know of their copies comes as rows that sort before them
     copies = sums.join(same, ["sha1", "bytes"]).select(shard, "page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha1", "bytes", "keeper").distinct()
     rows = src.select(shard, "page_id", F.lit(1).alias("kind"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha1"), size.alias("bytes"), F.lit(None).cast("long").alias("keeper"))
-    rows = copies.unionByName(rows).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "kind", "url", "sha1")
+    rows = copies.unionByName(rows).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "kind", "url", "sha1")
     return commit(rows.mapInArrow(_writer(root, roll), MANIFEST), root)
 
 
