@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text handled at once by the vectorised passes; bounds a worker's memory.
@@ -49,6 +50,16 @@ def drop_scratch(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_place(*cols: str) -> Column:
+    """A reproducible place in [0, 1) for a row's values."""
+    return F.pmod(F.xxhash64(*cols), F.lit(2**52)) / F.lit(float(2**52))
+
+
+#: A sample of k of n rows by smallest hash place looks only at places below SAMPLE_ROOM * k / n; of 400 or more, fewer
+#: than k below that are as good as impossible.
+SAMPLE_ROOM = 4.0
+
+
 # --- text buffers -----------------------------------------------------------------------------
 
 

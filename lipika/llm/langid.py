@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lipika.llm.common import U64, text_chunks
+from lipika.llm.common import SAMPLE_ROOM, hash_place, text_chunks
 
 ORDERS = (1, 2, 3, 4)
 DIM = 1 << 14
@@ -155,8 +155,10 @@ def fit(training: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]
     if not n_docs:
         return None
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = training.select("doc_id", "lang").withColumn("no", order).where(F.col("no") <= SAMPLE_PER_LANG).select("doc_id", "lang")
+    # few rows of each language get as far as the ranking, however many there are
+    near = training.select("doc_id", "lang", hash_place("doc_id").alias("place")).join(training.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(F.col("place") < SAMPLE_ROOM * SAMPLE_PER_LANG / F.col("n"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    ids = near.withColumn("no", order).where(F.col("no") <= SAMPLE_PER_LANG).select("doc_id", "lang")
     # at most SAMPLE_PER_LANG ids of each language
     sample = training.join(F.broadcast(ids.distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(_sparse, "lang string, at binary, n binary").collect()
     sample.sort(key=lambda r: (r.lang, r.at, r.n))
