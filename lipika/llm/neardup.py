@@ -8,8 +8,9 @@ whole band are candidates; a candidate pair is a link if its exact probability J
 threshold. Classes are the connected components of the links.
 
 Skew: exact copies (equal word sequences) are folded into their smallest doc_id before anything else. In a bucket, each
-member is paired with the bucket's leader, not with all others; bands have different leaders. Buckets that still hold
-several classes then have the members of different classes compared, most of them by signature alone.
+member is paired with the bucket's leader, not with all others; bands have different leaders. In buckets that still hold
+several classes, members are then paired with the likeliest few of other classes, by signature; in those that are open
+even then, block by block, with all that the signature leaves possible, and only what may be a link leaves the block.
 
 Defined results: a null text is a class of its own; a text without words equals only identical texts; a text of fewer
 than five words has one shingle; repeated rows get the same class; class_id is the smallest doc_id of the class; empty
@@ -171,11 +172,14 @@ def _verify(threshold: float):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Links among the candidate pairs (a < b)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Shingles and weights of the documents named in ids (id)."""
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("shuffle_hash"), "id", "left_semi")
-    sets = materialize(texts.mapInArrow(_shingle_sets, "id long, items binary, weights binary").dropDuplicates(["id"]), "shingles")
+    return materialize(texts.mapInArrow(_shingle_sets, "id long, items binary, weights binary").dropDuplicates(["id"]), "shingles")
+
+
+def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Links among the candidate pairs (a < b)."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("ia"), F.col("weights").alias("wa"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("ib"), F.col("weights").alias("wb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ia", "wa", "ib", "wb").mapInArrow(_verify(threshold), "a long, b long, similarity double")
@@ -211,59 +215,129 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sig = signed.where("f0 is not null and size(bands) > 0").join(reps, "doc_id", "left_semi")
     rows = sig.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
     mask = F.element_at(F.array(*[F.lit(x) for x in LEADERS]), (F.col("band") % len(LEADERS)) + 1)
-    rows = materialize(rows.select("id", F.xxhash64("band", "bucket").alias("bucket"), mask.alias("mask")), "bands")
+    rows = materialize(rows.select("id", "band", F.xxhash64("band", "bucket").alias("bucket"), mask.alias("mask")), "bands")
     leaders = rows.groupBy("bucket", "mask").agg(F.min(F.expr("id ^ mask")).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    shared = materialize(rows.join(leaders.select("bucket", (F.expr("m ^ mask")).alias("leader")), "bucket").select("bucket", "id", "leader"), "buckets")
+    shared = materialize(rows.join(leaders.select("bucket", (F.expr("m ^ mask")).alias("leader")), "bucket").select("bucket", "band", "id", "leader"), "buckets")
     pairs = materialize(shared.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "pairs")
-    links = materialize(verified(src, pairs, threshold), "links")
+    sets = shingle_sets(src, shared.select("id").distinct())
+    links = materialize(verified(sets, pairs, threshold), "links")
     labels = components(links)
-    # buckets that still hold several classes: members of different classes meet, unless already compared
-    placed = shared.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")).distinct()
-    open_ = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    placed = materialize(placed.join(open_, "bucket"), "open-buckets")
-    if placed.limit(1).count():
-        placed = placed.join(signed.select(F.col("doc_id").alias("id"), "signature").dropDuplicates(["id"]), "id")
-        more = materialize(cross_pairs(placed, threshold).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-        if more.limit(1).count():
-            more_links = verified(src, more, threshold)
-            labels = components(links.unionByName(more_links))
+    # buckets that still hold several classes: members are compared with those of other classes, the likeliest first
+    signatures = signed.select(F.col("doc_id").alias("id"), "signature").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    for exact in (False, True):
+        placed = materialize(open_members(shared, labels), "open-buckets")
+        if not placed.limit(1).count():
+            break
+        placed = placed.join(signatures, "id")
+        if exact:
+            placed = placed.join(sets.mapInArrow(_small_sets, "id long, small binary, heavy binary"), "id")
+        more = materialize(cross_pairs(placed, threshold, exact).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+        found = materialize(verified(sets, more, threshold), "more-links")
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            labels = components(links)
     out = member.join(labels.withColumnRenamed("id", "copy_of"), "copy_of", "left")
     return out.select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
 
 
+def open_members(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, band, id, label and the label's members in the bucket (mates), of buckets with two labels or more."""
+    placed = shared.join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label")).distinct()
+    counts = placed.groupBy("bucket", "label").agg(F.count("*").alias("mates"))
+    several = counts.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    return placed.join(counts.join(several, "bucket"), ["bucket", "label"])
+
+
+def _small_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles cut to 32 bits, and the weights if any is over 1."""
+    for b in batches:
+        small = [(np.frombuffer(x.as_buffer(), U64) >> U64(16)).astype(np.uint32).tobytes() for x in b.column(1)]
+        heavy = [w.as_py() if (np.frombuffer(w.as_buffer(), np.int32) > 1).any() else b"" for w in b.column(2)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(small, pa.binary()), pa.array(heavy, pa.binary())], names=["id", "small", "heavy"])
+
+
 #: Members of one block of an open bucket; blocks of a bucket meet two by two in tasks of their own.
 OPEN_BLOCK = 512
+#: Partners that a member is given in a block when signatures alone are looked at.
+LIKELIEST = 8
+#: What cutting shingles to 32 bits can take from a similarity.
+SMALL_SLACK = 0.01
 
 
-def cross_pairs(placed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different labels within a bucket whose signatures agree about as often as threshold pairs do.
+def cross_pairs(placed: DataFrame, threshold: float, exact: bool) -> DataFrame:
+    """Pairs of different labels within a bucket that may be links.
 
-    placed: bucket, id, label, signature. A bucket is dealt into blocks of about OPEN_BLOCK members; every two blocks are
-    compared by signature in one task, and only pairs that pass leave it.
+    placed: bucket, band, id, label, mates, signature[, small, heavy]. A bucket is dealt into blocks of about OPEN_BLOCK
+    members; every two blocks are compared in one task, and only the pairs found leave it. Members of the smaller class
+    look for partners in the larger one: first by signature, each for its LIKELIEST; when `exact`, all whose signatures
+    agree about as often as threshold pairs do are compared shingle by shingle, a pair only in the first band it shares.
     """
     sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / OPEN_BLOCK).cast("int").alias("blocks"))
     dealt = placed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "label", "signature")
+    dealt = dealt.withColumn("other", other).drop("blocks").withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
     m = BANDS * BAND_ROWS
     least = threshold * m - SIGNATURE_SLACK * (threshold * (1 - threshold) * m) ** 0.5
 
     def compare(t: pa.Table) -> pa.Table:
-        ids, labels, block = (t.column(c).to_numpy() for c in ("id", "label", "block"))
-        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        ids, labels, mates, block = (t.column(c).to_numpy() for c in ("id", "label", "mates", "block"))
+        x, y, band = (t.column(c)[0].as_py() for c in ("x", "y", "band"))
         sig = np.stack([np.frombuffer(s.as_buffer(), np.uint32) for s in t.column("signature")])
+        sets = _Sets(t) if exact else None
         a, b = [], []
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        for i in left:
-            k = right[(labels[right] != labels[i]) & ((ids[right] > ids[i]) if x == y else True)]
-            k = k[(sig[k] == sig[i]).sum(axis=1) >= least]
-            a += np.minimum(ids[k], ids[i]).tolist()
-            b += np.maximum(ids[k], ids[i]).tolist()
+        blocks = [np.flatnonzero(block == x), np.flatnonzero(block == y)]
+        for left, right in [blocks] if x == y else [blocks, blocks[::-1]]:
+            for i in left:
+                k = right[(labels[right] != labels[i]) & ((mates[right] > mates[i]) | ((mates[right] == mates[i]) & (labels[right] > labels[i])))]
+                same = sig[k] == sig[i]
+                agree = same.sum(axis=1)
+                keep = agree >= least
+                if sets is None:
+                    k, agree = k[keep], agree[keep]
+                    k = k[np.lexsort((ids[k], -agree))[:LIKELIEST]]
+                else:
+                    keep &= same.reshape(len(k), BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == band
+                    k = k[keep]
+                    k = k[sets.similarities(i, k) >= threshold - SMALL_SLACK]
+                a += np.minimum(ids[k], ids[i]).tolist()
+                b += np.maximum(ids[k], ids[i]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
+class _Sets:
+    """The shingle sets of a task's rows, one after the other."""
+
+    def __init__(self, t: pa.Table):
+        each = [np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("small")]
+        self.n = np.array([len(x) for x in each], np.int64)
+        self.start = np.append(0, np.cumsum(self.n))
+        self.items = np.concatenate(each)
+        self.heavy = [np.frombuffer(x.as_buffer(), np.int32) for x in t.column("heavy")]
+
+    def of(self, i: int) -> np.ndarray:
+        return self.items[self.start[i] : self.start[i + 1]]
+
+    def weights(self, i: int) -> np.ndarray:
+        return self.heavy[i] if len(self.heavy[i]) else np.ones(self.n[i])
+
+    def similarities(self, i: int, k: np.ndarray) -> np.ndarray:
+        if not len(k):
+            return np.zeros(0)
+        own = self.of(i)
+        at = np.repeat(self.start[k], self.n[k]) + np.arange(self.n[k].sum()) - np.repeat(np.cumsum(self.n[k]) - self.n[k], self.n[k])
+        items = self.items[at]
+        found = own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items
+        common = np.bincount(np.repeat(np.arange(len(k)), self.n[k])[found], minlength=len(k))
+        out = common / (self.n[k] + len(own) - common)
+        for x in np.flatnonzero(out >= 0.3):
+            j = k[x]
+            if len(self.heavy[i]) or len(self.heavy[j]):
+                out[x] = max(out[x], probability_jaccard(own, self.weights(i), self.of(j), self.weights(j)))
+        return out
+
+
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stay: of each class, the document of smallest doc_id; columns unchanged."""
     classes = materialize(near_duplicates(docs, threshold), "classes")
