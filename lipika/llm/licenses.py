@@ -17,9 +17,8 @@ from pyspark.sql import Window
 
 from lipika.llm.common import materialize
 
-#: Word separators, and upper-case letters, which are words too before lower-casing.
-SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Word separators, character by character (a class of single characters is one table look-up).
+SEPARATOR = "[" + "".join(rf"\x{b:02X}" for b in range(128) if not chr(b).isalnum()) + "]+"
 
 #: The base phrases and their labels.
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
@@ -171,12 +170,10 @@ def rules() -> list[dict]:
     return [{"no": i, "label": a, "keyword": k, "pattern": rf"(?<= )(?:{p})(?= )", "priority": c[0], "confidence": c[1], "base": b} for i, (a, k, p, c, b) in enumerate(out)]
 
 
-def gate(all_rules: list[dict]) -> str:
-    """One expression that finds any rule's keyword in a raw text (ASCII case ignored, words apart by any separator)."""
+def gate_words(all_rules: list[dict]) -> list[str]:
+    """The fewest keywords such that a text without any of them holds none; a keyword that holds another is found with it."""
     keys = sorted({r["keyword"] for r in all_rules})
-    # a keyword that holds another is found with it
-    keys = [k for k in keys if not any(o != k and o in k for o in keys)]
-    return "(?i)(?:" + "|".join(k.replace(" ", SEPARATOR) for k in keys) + ")"
+    return [k for k in keys if not any(o != k and o in k for o in keys)]
 
 
 def _spaces(text: Column) -> Column:
@@ -199,22 +196,35 @@ def _spans(words: Column, rule: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), *(rule[c].alias(c) for c in ("no", "label", "priority", "confidence", "base"))))
 
 
-def detections(text: Column, all_rules: list[dict] | None = None) -> Column:
-    """Array of all detections (first, last, no, label, priority, confidence, base) in a text, before suppression."""
+def read_text(text: Column, all_rules: list[dict] | None = None) -> Column:
+    """(n_words, found) of a text; found: all detections (first, last, no, label, priority, confidence, base), before suppression."""
     all_rules = rules() if all_rules is None else all_rules
     table = F.array(*[F.struct(*(F.lit(r[c]).alias(c) for c in r)) for r in all_rules])
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, upper, lower), SEPARATOR, " ")), F.lit(" "))
-    # an array of one, so that the words are made once
-    each = F.transform(F.array(words), lambda w: F.flatten(F.transform(F.filter(table, lambda r: F.contains(w, r["keyword"])), lambda r: _spans(w, r))))
     empty = F.array().cast("array<struct<first:int,last:int,no:int,label:string,priority:int,confidence:double,base:boolean>>")
-    return F.when(text.rlike(gate(all_rules)), F.flatten(each)).otherwise(empty)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def held(low: Column) -> Column:
+        out = F.lit(False)
+        for k in gate_words(all_rules):
+            out = out | F.contains(low, F.lit(k))
+        return out
+
+    def one(spaced: Column) -> Column:
+        n = F.when(spaced == "", 0).otherwise(_spaces(spaced) + 1).cast("long")
+        words = F.concat(F.lit(" "), F.translate(spaced, upper, lower), F.lit(" "))
+        every = F.transform(F.array(words), lambda w: F.flatten(F.transform(F.filter(table, lambda r: F.contains(w, r["keyword"])), lambda r: _spans(w, r))))
+        # lower() goes beyond A-Z, which is no matter for passing texts by
+        passed = F.exists(F.array(F.lower(spaced)), held)
+        return F.struct(n.alias("n_words"), F.when(passed, F.flatten(every)).otherwise(empty).alias("found"))
+
+    # arrays of one: what their functions are given is made once
+    return F.transform(F.array(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATOR, " "))), one)[0]
 
 
 def scan(docs: DataFrame, all_rules: list[dict] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections of every row of docs (doc_id, text)."""
-    found = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), detections(F.col("text"), all_rules).alias("found"))
-    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "license-detections")
+    found = docs.select("doc_id", read_text(F.col("text"), all_rules).alias("read")).withColumn("row", F.monotonically_increasing_id())
+    found = materialize(found, "license-detections").select("row", "doc_id", "read.n_words", "read.found")
     each = found.where("size(found) > 0").select("row", F.inline("found"))
     # what contains a detection comes before it in this order
     before = Window.partitionBy("row").orderBy("first", F.desc("last"), F.desc("priority"), "no").rowsBetween(Window.unboundedPreceding, -1)
