@@ -29,7 +29,7 @@ def score_tokens(pairs: DataFrame, norm=match_norm, tight_form=tight, amount_as_
     else:
         df = df.withColumn("_norms", F.transform("_tokens", lambda t: norm(F.coalesce(t["surface"], F.lit("")))))
     df = df.withColumn("_hyp", hypothesis(norm(F.col("hypothesis")), tight_form(F.col("hypothesis")), text("hypothesis")))
-    each = F.zip_with("_tokens", "_norms", lambda t, n: hit(F.coalesce(t["type"], F.lit("")), F.coalesce(t["surface"], F.lit("")), n, F.col("_hyp"), F.col("lang"), amount_as_currency))
+    each = F.transform("_tokens", lambda t, i: hit(F.coalesce(t["type"], F.lit("")), F.coalesce(t["surface"], F.lit("")), F.col("_norms")[i], F.col("_hyp"), F.col("lang"), amount_as_currency))
     return df.withColumn("hits", each).drop("_tokens", "_norms", "_hyp")
 
 
