@@ -165,3 +165,8 @@ def duration_cost(df: DataFrame, by: list[str], seconds: str = "duration_s", per
     """Total minutes and their price."""
     minutes = F.coalesce(F.sum(seconds), F.lit(0.0)) / 60
     return df.groupBy(*by).agg(minutes.alias("minutes")).withColumn("cost", F.col("minutes") * per_minute)
+
+
+def cer_filter(pairs: DataFrame, most: float = 0.5, ref: str = "text", hyp: str = "hypothesis") -> DataFrame:
+    """Rows whose own character error rate is at most `most`; rows without reference characters go."""
+    return pairs.where(F.coalesce(F.try_divide(char_edits(ref, hyp), F.length(strip(ref))) <= most, F.lit(False)))

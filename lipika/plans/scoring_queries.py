@@ -14,7 +14,7 @@ from lipika.operators import relational as rel
 from lipika.plans.base import SQL_PAIRS, SQL_SENTENCES, opening_pairs, plain_tight, query, sentences, sql_norm, table
 
 
-def _tagged_pairs(spark: SparkSession, sf_dir: str, cls: str = "codemix") -> DataFrame:
+def tagged_pairs(spark: SparkSession, sf_dir: str, cls: str = "codemix") -> DataFrame:
     """Opening pairs whose references are tagged; a token is a surface and its type, without offsets."""
     kind, pattern = tagger.PATTERNS[cls]
     surfaces = tagger.surfaces("text", pattern)
@@ -23,7 +23,7 @@ def _tagged_pairs(spark: SparkSession, sf_dir: str, cls: str = "codemix") -> Dat
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return m.row_scores_only(m.score_tokens(_tagged_pairs(spark, sf_dir), norm=plain_norm, tight_form=plain_tight))
+    return m.row_scores_only(m.score_tokens(tagged_pairs(spark, sf_dir), norm=plain_norm, tight_form=plain_tight))
 
 
 _LOAN = "[A-Za-z][A-Za-z0-9''-]*"
@@ -52,7 +52,7 @@ def ehr_macro_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hit_counts(spark: SparkSession, sf_dir: str, cls: str, rule: h.Rule) -> DataFrame:
-    pairs = _tagged_pairs(spark, sf_dir, cls)
+    pairs = tagged_pairs(spark, sf_dir, cls)
     hyp = h.hypothesis(plain_norm("hypothesis"), plain_tight("hypothesis"), F.col("hypothesis"))
     hits = F.size(F.filter("entity_tokens", lambda t: rule(t["surface"], F.lower(t["surface"]), F.col("_hyp"), F.col("lang")))).cast("long")
     rows = pairs.withColumn("_hyp", hyp).select("lang", F.size("entity_tokens").cast("long").alias("n"), hits.alias("h"))
@@ -141,7 +141,7 @@ def cer_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three systems' hypotheses for each opening pair, in long form, scored row by row."""
-    wide = _tagged_pairs(spark, sf_dir).withColumn("sys_cut", F.substring("hypothesis", 1, 80)).withColumn("sys_blank", F.when(F.col("id") % 5 == 0, "").otherwise(F.col("hypothesis"))).withColumnRenamed("hypothesis", "sys_same")
+    wide = tagged_pairs(spark, sf_dir).withColumn("sys_cut", F.substring("hypothesis", 1, 80)).withColumn("sys_blank", F.when(F.col("id") % 5 == 0, "").otherwise(F.col("hypothesis"))).withColumnRenamed("hypothesis", "sys_same")
     long = m.long_form(wide, {"cut": "sys_cut", "blank": "sys_blank", "same": "sys_same"})
     scored = m.score_tokens(long, norm=plain_norm, tight_form=plain_tight)
     return m.row_scores_only(scored).withColumn("sfr", script_fidelity("hypothesis", F.lit("en")))
