@@ -16,8 +16,21 @@ U64 = np.uint64
 CHUNK_BYTES = 2_000_000
 
 
+#: Rows and bytes that go to a Python worker at once. Rows can be whole documents or pairs of shingle sets, so Spark's
+#: default of 10,000 would make batches of over 100 MB.
+BATCH_ROWS, BATCH_BYTES = 1000, 16_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES, unless they are lower."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, most)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    bounded_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="lipika-")
@@ -85,6 +98,21 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
         i = j
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their column holds about `limit` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.column(b.schema.get_field_index(column)).nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _table(word: str) -> np.ndarray:
     """Per byte: 0 for separators, else the byte the word keeps.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lipika.llm.common import SAMPLE_ROOM, hash_place, text_chunks
+from lipika.llm.common import SAMPLE_ROOM, bounded_batches, hash_place, text_chunks
 
 ORDERS = (1, 2, 3, 4)
 DIM = 1 << 14
@@ -198,6 +198,7 @@ def _predict(model):
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of docs (doc_id, text, lang)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
     training = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held)
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

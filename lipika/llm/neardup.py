@@ -258,6 +258,10 @@ def _small_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Members of one block of an open bucket; blocks of a bucket meet two by two in tasks of their own.
 OPEN_BLOCK = 512
+#: And the most bytes of their shingles.
+OPEN_BYTES = 4_000_000
+#: Shingles that are looked up at once.
+LOOKUP = 250_000
 #: Partners that a member is given in a block when signatures alone are looked at.
 LIKELIEST = 8
 #: What cutting shingles to 32 bits can take from a similarity.
@@ -272,7 +276,8 @@ def cross_pairs(placed: DataFrame, threshold: float, exact: bool) -> DataFrame:
     look for partners in the larger one: first by signature, each for its LIKELIEST; when `exact`, all whose signatures
     agree about as often as threshold pairs do are compared shingle by shingle, a pair only in the first band it shares.
     """
-    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / OPEN_BLOCK).cast("int").alias("blocks"))
+    members = F.count("*") / OPEN_BLOCK
+    sizes = placed.groupBy("bucket").agg(F.ceil(F.greatest(members, F.sum(F.octet_length("small")) / OPEN_BYTES) if exact else members).cast("int").alias("blocks"))
     dealt = placed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).drop("blocks").withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
@@ -323,8 +328,10 @@ class _Sets:
         return self.heavy[i] if len(self.heavy[i]) else np.ones(self.n[i])
 
     def similarities(self, i: int, k: np.ndarray) -> np.ndarray:
-        if not len(k):
-            return np.zeros(0)
+        share = np.cumsum(self.n[k]) // LOOKUP
+        return np.concatenate([np.zeros(0), *(self._some(i, k[share == s]) for s in np.unique(share))])
+
+    def _some(self, i: int, k: np.ndarray) -> np.ndarray:
         own = self.of(i)
         at = np.repeat(self.start[k], self.n[k]) + np.arange(self.n[k].sum()) - np.repeat(np.cumsum(self.n[k]) - self.n[k], self.n[k])
         items = self.items[at]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lipika.llm.common import SAMPLE_ROOM, U64, hash_place, mix64, rows_of, text_chunks, word_bounds, word_hashes
+from lipika.llm.common import SAMPLE_ROOM, U64, bounded_batches, hash_place, mix64, rows_of, text_chunks, word_bounds, word_hashes
 
 SAMPLE_DOCS = 1500
 #: Share of words in content lines from which a document stays.
@@ -279,6 +279,7 @@ def _keep(model):
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
     """Train the field on the lines of at most `sample` documents, those with the smallest id hashes."""
+    bounded_batches(docs.sparkSession)
     n = docs.count()
     place = hash_place("doc_id")
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (place < SAMPLE_ROOM * sample / max(n, 1))).orderBy(place, "doc_id").limit(sample).distinct()

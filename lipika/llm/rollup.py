@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import scratch_path
+from lipika.llm.common import bounded_batches, scratch_path
 
 BPE_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
@@ -50,6 +50,7 @@ def _count(ranks):
 
 def count_tokens(docs: DataFrame, bpe_file: str | None = BPE_FILE) -> DataFrame:
     """doc_id, source, lang, tokenizer, tokens: one row per document and tokenizer version (bpe_file None: words only)."""
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), "text")
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     if bpe_file is None:
