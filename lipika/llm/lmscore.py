@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lipika.llm.common import materialize, text_chunks, word_bounds, word_hashes
+from lipika.llm.common import drop_scratch, gathered, materialize, text_chunks, word_bounds, word_hashes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 10_000_000
 #: Zipf-Mandelbrot's shift.
 SHIFT = 2.7
 #: The mark that starts a word in the vocabulary.
@@ -132,31 +132,44 @@ def reweigh(pieces: dict[bytes, float], expected: dict[bytes, float]) -> dict[by
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-BLOCKS = "block long, words array<string>, hashes array<long>, train array<long>, tokens binary, n_words array<long>, doc_ids array<long>, held array<boolean>"
+BLOCKS = "block long, words array<string>, train array<long>, tokens binary, n_words array<long>, doc_ids array<long>, held array<boolean>"
+
+
+def pack(number: np.ndarray) -> bytes:
+    """32-bit numbers by byte planes."""
+    return np.ascontiguousarray(number.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     block = TaskContext.get().partitionId() << 32
-    for batch in batches:
+    for batch in gathered(batches, "text", BLOCK_BYTES):
         ids, held_all = batch.column(0), batch.column(2)
-        for i, j, data, off in text_chunks(batch, limit=BLOCK_BYTES):
+        for i, j, data, off in text_chunks(batch, limit=2 * BLOCK_BYTES):
             h, prefix = word_hashes(data, off, "space_lower")
             starts, ends = word_bounds(data, off, "space_lower")
             low = data.tobytes().translate(_LOWER)
-            unique, first, number = np.unique(h, return_index=True, return_inverse=True)
+            _, first, number = np.unique(h, return_index=True, return_inverse=True)
+            # frequent words get small numbers, which pack well
+            order = np.argsort(-np.bincount(number, minlength=len(first)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            number, first = rank[number], first[order]
             held = held_all[i:j].to_numpy(zero_copy_only=False).astype(bool)
             n = np.diff(prefix)
-            train = np.bincount(number[np.repeat(~held, n)], minlength=len(unique))
+            train = np.bincount(number[np.repeat(~held, n)], minlength=len(first))
             words = [low[s:e].decode() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block], pa.int64()),
                     pa.array([words], pa.list_(pa.string())),
-                    pa.array([unique.view(np.int64)], pa.list_(pa.int64())),
                     pa.array([train.astype(np.int64)], pa.list_(pa.int64())),
-                    pa.array([number.astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([pack(number)], pa.binary()),
                     pa.array([n.astype(np.int64)], pa.list_(pa.int64())),
                     pa.array([ids[i:j].to_pylist()], pa.list_(pa.int64())),
                     pa.array([held.tolist()], pa.list_(pa.bool_())),
@@ -181,7 +194,7 @@ def _lattice(pieces):
         table = prefix_table(pieces.value)
         for b in batches:
             score = [log_marginal(START + w.encode(), table) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(score, pa.float64())], names=["hash", "c", "logp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64())], names=["word", "c", "logp"])
 
     return run
 
@@ -196,13 +209,12 @@ def _sum_up(train_docs: int, train_tokens: int, train_words: int):
     norm = math.log10(train_tokens + train_words + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        hashes = right.column("hash").to_numpy()
-        order = np.argsort(hashes.view(np.uint64))
+        order = np.argsort(right.column("pos").to_numpy())
         c = right.column("c").to_numpy()[order]
         logp = right.column("logp").to_numpy()[order] / math.log(10)
         out = []
         for k in range(left.num_rows):
-            number = np.frombuffer(left.column("tokens")[k].as_buffer(), np.int32)
+            number = unpack(left.column("tokens")[k].as_buffer())
             n = np.array(left.column("n_words")[k].as_py(), np.int64)
             prefix = np.append(0, np.cumsum(n))
 
@@ -228,16 +240,17 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     src = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held"))
     blocks = materialize(src.mapInArrow(_encode, BLOCKS), "lm-blocks", compression="zstd")
-    rows = blocks.select("block", F.expr("inline(arrays_zip(words, hashes, train))")).toDF("block", "word", "hash", "train")
-    words_ = materialize(rows.groupBy("word", "hash").agg(F.sum("train").alias("c")), "lm-counts")
+    rows = blocks.select("block", F.expr("posexplode(arrays_zip(words, train))")).select("block", "pos", "col.words", "col.train").toDF("block", "pos", "word", "train")
+    words_ = materialize(rows.groupBy("word").agg(F.sum("train").alias("c")), "lm-counts")
     # the vocabulary is a fixed table, and so are its weights
     pieces = load_pieces(vocabulary)
-    expected = words_.where("c > 0").select("word", "c").mapInArrow(_expect(spark.sparkContext.broadcast(pieces)), "piece binary, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    expected = words_.where("c > 0").mapInArrow(_expect(spark.sparkContext.broadcast(pieces)), "piece binary, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     pieces = reweigh(pieces, {bytes(r["piece"]): r["n"] for r in sorted(expected, key=lambda r: bytes(r["piece"]))})
-    counts = materialize(words_.mapInArrow(_lattice(spark.sparkContext.broadcast(pieces)), "hash long, c long, logp double"), "lm-words")
+    counts = materialize(words_.mapInArrow(_lattice(spark.sparkContext.broadcast(pieces)), "word string, c long, logp double"), "lm-words")
+    drop_scratch(spark, words_)
     words, tokens = counts.agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0))).first()
     train_docs = blocks.select(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0))).first()[0]
     sums = _sum_up(train_docs, tokens + train_docs, words + (train_docs > 0))
-    stats = rows.select("block", "hash").join(counts, "hash")
+    stats = rows.select("block", "pos", "word").join(counts, "word").select("block", "pos", "c", "logp")
     whole = blocks.select("block", "tokens", "n_words", "doc_ids", "held")
     return whole.groupBy("block").cogroup(stats.groupBy("block")).applyInArrow(sums, SCHEMA)
