@@ -90,7 +90,8 @@ def random_n(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataF
 def balanced(df: DataFrame, by: str, n: int, classes: int, id_col: str = "id", seed: int = 1337) -> DataFrame:
     """n rows: n // classes of each class, then topped up from the rest."""
     share = n // classes
-    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(draw(id_col, seed), id_col)))
+    # no class can give more than n, so few rows of each get as far as the ranking
+    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(draw(id_col, seed), id_col))).where(F.col("_n") <= n)
     return ranked.orderBy(F.col("_n") > share, draw(id_col, seed), id_col).limit(n).drop("_n")
 
 

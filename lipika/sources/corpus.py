@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UTTERANCE = "id string, lang string, entity_class string, text string, entity_tokens array<struct<surface:string,start:int,end:int,type:string>>, source_template string, llm_run_id string"
@@ -37,9 +37,13 @@ def jsonl_captured(spark: SparkSession, path: str | list[str], schema: str) -> D
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, line, value of text files. A file is read whole by one task, so its lines can be counted."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
+    """file, line (from 1), value of text files. Files are read in splits; a line's number is its place in its split plus
+    the lines of the file's splits before."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value")
+    splits = lines.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "_split", (before - F.col("_first") + 1).alias("_shift"))
+    return lines.join(splits, ["file", "_split"]).select("file", (F.col("_at") + F.col("_shift")).alias("line"), "value")
 
 
 def jsonl_from_replies(df: DataFrame, c: str = "content", schema: str = "text string") -> DataFrame:

@@ -26,6 +26,20 @@ def test_jsonl(spark, tmp_path):
     assert src.with_order(src.jsonl_tolerant(spark, p, "id string")).orderBy("ord").first().id == "a"
 
 
+def test_line_numbers_across_splits(spark, tmp_path):
+    for k in range(2):
+        write(tmp_path / f"l/{k}.txt", "".join(f"{k}-{i}-{'x' * (i % 50)}\n" for i in range(1, 4001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = src.numbered_lines(spark, str(tmp_path / "l"))
+        assert lines.rdd.getNumPartitions() > 1 and spark.read.text(str(tmp_path / "l")).rdd.getNumPartitions() > 4
+        got = lines.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == 8000 and all(int(r.value.split("-")[1]) == r.line for r in got)
+
+
 def test_replies(spark):
     df = spark.createDataFrame([(1, '```json\n{"text": "a"}\n `{"text": "b"}`\n{"other": 1}\nhello\n{bad\n```'), (2, None)], "k int, content string")
     assert [(r.k, r.text) for r in src.jsonl_from_replies(df).collect()] == [(1, "a"), (1, "b")]
