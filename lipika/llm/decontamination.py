@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lipika.llm.common import U64, materialize, rows_of, text_chunks, word_hashes
+from lipika.llm.common import U64, drop_scratch, materialize, rows_of, text_chunks, word_hashes
 
 WINDOW = 10
 #: Items whose windows are sent to the executors at once, and the most text bytes among them.
@@ -274,3 +274,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs (doc_id, text)."""
     hits = search_phrases(build_index(docs), benchmark, window)
     return hits.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs without a hit, columns unchanged. A doc_id goes with all its rows if one of them is hit."""
+    index = build_index(docs)
+    found = search_phrases(index, benchmark, window).where(F.exists("spans", lambda s: F.octet_length(s) > 0))
+    bad = materialize(found.select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    drop_scratch(docs.sparkSession, index)
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(docs.columns)

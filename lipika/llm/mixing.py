@@ -159,7 +159,7 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, columns unchanged."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     taken = materialize(mix(docs, seed).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")), "mix-taken")
-    joined = docs.withColumn("_words", size).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    joined = docs.withColumn("_words", size).join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
     if taken.where("_n > 1").limit(1).count():
         no = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_words"))
         joined = joined.withColumn("_no", no)

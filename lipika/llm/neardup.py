@@ -201,6 +201,7 @@ def components(edges: DataFrame) -> DataFrame:
         drop_scratch(labels.sparkSession, labels)
         labels = now.select("id", "label")
         if not changed:
+            drop_scratch(labels.sparkSession, both)
             return labels
 
 
@@ -223,9 +224,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = materialize(verified(sets, pairs, threshold), "links")
     labels = components(links)
     # buckets that still hold several classes: members are compared with those of other classes, the likeliest first
+    spent = [signed, rows, shared, pairs, sets, links]
     signatures = signed.select(F.col("doc_id").alias("id"), "signature").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     for exact in (False, True):
         placed = materialize(open_members(shared, labels), "open-buckets")
+        spent.append(placed)
         if not placed.limit(1).count():
             break
         placed = placed.join(signatures, "id")
@@ -233,9 +236,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             placed = placed.join(sets.mapInArrow(_small_sets, "id long, small binary, heavy binary"), "id")
         more = materialize(cross_pairs(placed, threshold, exact).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
         found = materialize(verified(sets, more, threshold), "more-links")
+        spent += [more, found]
         if found.limit(1).count():
             links = links.unionByName(found)
             labels = components(links)
+    drop_scratch(docs.sparkSession, *spent)
     out = member.join(labels.withColumnRenamed("id", "copy_of"), "copy_of", "left")
     return out.select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
 
@@ -348,9 +353,9 @@ class _Sets:
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that stay: of each class, the document of smallest doc_id; columns unchanged."""
     classes = materialize(near_duplicates(docs, threshold), "classes")
-    # the few that go are joined, not the many that stay
+    # the few that go are joined, not the many that stay; by shuffle at any size, as their number has no bound
     gone = classes.where("not (doc_id <=> class_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
     if classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
         # repeated rows: one of them stays
         kept = kept.withColumn("_id", F.coalesce("doc_id", F.monotonically_increasing_id() - F.lit(2**62))).dropDuplicates(["_id"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lipika.llm.common import materialize
+from lipika.llm.common import drop_scratch, materialize
 
 BLOCK = 65_536
 
@@ -130,6 +130,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
             key, n = prefix.at(end)
             shard = F.when(F.col("key") > key, k).otherwise(shard)
             start = F.when(F.col("key") > key, n).otherwise(start)
+    drop_scratch(spark, rows, groups)
     placed = ordered.select("doc_id", "size", "text_crc32", "key", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
     files = sorted(((r.file, r.n) for r in placed.groupBy("file").agg(F.count("*").alias("n")).collect()), key=lambda r: _part(r[0]))
     bases = np.concatenate([[0], np.cumsum([n for _, n in files])]) if files else []
