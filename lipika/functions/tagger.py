@@ -29,7 +29,7 @@ def surfaces(c: Column | str, pattern: str) -> Column:
 
 
 #: Matches that are laid out at once; offsets of long texts are summed group by group.
-GROUP = 64
+GROUP = 16
 
 
 def spans(c: Column | str, pattern: str, kind: str) -> Column:
