@@ -1,7 +1,7 @@
 """Entity-hit predicates: is a reference token found in the hypothesis?
 
-A hypothesis is prepared once per row, before its tokens are looked at: `norm` (match form), `tight` (NFKC without spaces)
-and `raw`. RULES maps token types to predicates and can be extended.
+A hypothesis is prepared once per row, before its tokens are looked at: `norm` (match form), `tight` (NFKC without spaces),
+the words of both the normal and the raw form, and its currency value. RULES maps token types to predicates and can be extended.
 """
 
 from __future__ import annotations
@@ -12,14 +12,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lipika.functions.lexicon import BRAND_ALIASES, SPELLED_DIGITS
-from lipika.functions.text import currency_value, digits_only, tokens
+from lipika.functions.text import currency_value, digits_only, once, tokens
 
 NAME_SHARE, DIGIT_SHARE, CURRENCY_TOLERANCE = 0.8, 0.8, 0.005
 Rule = Callable[[Column, Column, Column], Column]
 
 
 def hypothesis(norm: Column, tight: Column, raw: Column) -> Column:
-    return F.struct(norm.alias("norm"), tight.alias("tight"), raw.alias("raw"))
+    """What the rules look at, made once per row."""
+    forms = F.struct(norm.alias("norm"), tight.alias("tight"), raw.alias("raw"))
+    return once(forms, lambda y: F.struct(y["norm"].alias("norm"), y["tight"].alias("tight"), tokens(y["norm"]).alias("words"), tokens(y["raw"]).alias("raw_words"), currency_value(y["norm"]).alias("value")))
 
 
 def digit_run(surface: Column, norm: Column, hyp: Column, lang: Column) -> Column:
@@ -57,14 +59,14 @@ def brand(surface: Column, norm: Column, hyp: Column, lang: Column) -> Column:
 def proper_noun(surface: Column, norm: Column, hyp: Column, lang: Column) -> Column:
     """Containment: the share of the reference's words that the hypothesis holds."""
     want = F.array_distinct(tokens(norm))
-    return (F.size(want) > 0) & (F.try_divide(F.size(F.array_intersect(want, tokens(hyp["norm"]))), F.size(want)) >= NAME_SHARE)
+    return (F.size(want) > 0) & (F.try_divide(F.size(F.array_intersect(want, hyp["words"])), F.size(want)) >= NAME_SHARE)
 
 
 def _digit_words(c: Column, lang: Column) -> Column:
     words = F.array().cast("array<string>")
     for code, names in SPELLED_DIGITS.items():
         words = F.when(lang == code, F.array(*map(F.lit, names))).otherwise(words)
-    return F.filter(tokens(c), lambda w: F.array_contains(words, w))
+    return F.filter(c, lambda w: F.array_contains(words, w))
 
 
 def in_order(want: Column, have: Column) -> Column:
@@ -74,8 +76,8 @@ def in_order(want: Column, have: Column) -> Column:
 
 
 def spelled_digit(surface: Column, norm: Column, hyp: Column, lang: Column) -> Column:
-    want = _digit_words(surface, lang)
-    return (F.size(want) > 0) & (F.try_divide(in_order(want, _digit_words(hyp["raw"], lang)), F.size(want)) >= DIGIT_SHARE)
+    want = _digit_words(tokens(surface), lang)
+    return (F.size(want) > 0) & (F.try_divide(in_order(want, _digit_words(hyp["raw_words"], lang)), F.size(want)) >= DIGIT_SHARE)
 
 
 def currency_hit(want: Column, got: Column) -> Column:
@@ -84,7 +86,7 @@ def currency_hit(want: Column, got: Column) -> Column:
 
 
 def currency_amount(surface: Column, norm: Column, hyp: Column, lang: Column) -> Column:
-    return currency_hit(currency_value(norm), currency_value(hyp["norm"]))
+    return currency_hit(currency_value(norm), hyp["value"])
 
 
 RULES: dict[str, Rule] = {

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lipika.functions.text import BOUNDARY, col, text
+from lipika.functions.text import BOUNDARY, col, once, text
 
 TOKEN = "array<struct<surface:string,start:int,end:int,type:string>>"
 PIN = rf"{BOUNDARY}\p{{Nd}}{{6}}{BOUNDARY}"
@@ -59,11 +59,6 @@ def spans(c: Column | str, pattern: str, kind: str) -> Column:
     return F.when(F.size(pairs) > 0, once(pairs, grouped)).otherwise(F.array().cast(TOKEN))
 
 
-def once(c: Column, f) -> Column:
-    """f of a column that is evaluated once, however often f uses it."""
-    return F.transform(F.array(c), f)[0]
-
-
 def addresses(c: Column | str) -> Column:
     """Pin codes, then plot numbers that start in none of them."""
 

@@ -28,6 +28,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def once(c: Column, f) -> Column:
+    """f of a column that is evaluated once, however often f uses it (also inside lambdas)."""
+    return F.transform(F.array(c), f)[0]
+
+
 # --- normal forms -----------------------------------------------------------------------------
 
 

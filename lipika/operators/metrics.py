@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lipika.functions.distance import char_edits, strip, word_edits, words
 from lipika.functions.hits import hit, hypothesis
-from lipika.functions.text import match_norm, script_fidelity, text, tight
+from lipika.functions.text import match_norm, once, script_fidelity, text, tight
 
 
 def ratio(a: Column, b: Column, zero: float | None = 0.0) -> Column:
@@ -20,17 +20,19 @@ def score_tokens(pairs: DataFrame, norm=match_norm, tight_form=tight, amount_as_
 
     The hypothesis is normalised once per row; surfaces once per token, in one pass over the row's array.
     """
-    joined = "\u0001"
-    df = pairs.withColumn("_tokens", F.coalesce("entity_tokens", F.array().cast("array<struct<surface:string,start:int,end:int,type:string>>")))
-    # surfaces go through the normal form together, as one string
-    surfaces = F.array_join(F.transform("_tokens", lambda t: F.coalesce(t["surface"], F.lit(""))), joined)
-    if norm is match_norm:
-        df = df.withColumn("_norms", norm_each(surfaces, joined))
+    mark = "\u0001"
+    tokens = F.coalesce("entity_tokens", F.array().cast("array<struct<surface:string,start:int,end:int,type:string>>"))
+    surface = lambda t: F.coalesce(t["surface"], F.lit(""))
+    if norm is match_norm:  # surfaces go through the normal form together, as one string
+        norms = F.slice(norm_each(F.array_join(F.transform(tokens, surface), mark), mark), 1, F.size(tokens))
     else:
-        df = df.withColumn("_norms", F.transform("_tokens", lambda t: norm(F.coalesce(t["surface"], F.lit("")))))
-    df = df.withColumn("_hyp", hypothesis(norm(F.col("hypothesis")), tight_form(F.col("hypothesis")), text("hypothesis")))
-    each = F.transform("_tokens", lambda t, i: hit(F.coalesce(t["type"], F.lit("")), F.coalesce(t["surface"], F.lit("")), F.col("_norms")[i], F.col("_hyp"), F.col("lang"), amount_as_currency))
-    return df.withColumn("hits", each).drop("_tokens", "_norms", "_hyp")
+        norms = F.transform(tokens, lambda t: norm(surface(t)))
+
+    def hits(made: Column) -> Column:
+        return F.zip_with(tokens, made["norms"], lambda t, n: hit(F.coalesce(t["type"], F.lit("")), surface(t), n, made["hyp"], F.col("lang"), amount_as_currency))
+
+    hyp = hypothesis(norm(F.col("hypothesis")), tight_form(F.col("hypothesis")), text("hypothesis"))
+    return pairs.withColumn("hits", once(F.struct(hyp.alias("hyp"), norms.alias("norms")), hits))
 
 
 def norm_each(joined: Column, mark: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lipika.functions import hits as h
 from lipika.functions import tagger
-from lipika.functions.text import plain_norm, script_fidelity
+from lipika.functions.text import once, plain_norm, script_fidelity
 from lipika.operators import metrics as m
 from lipika.operators import planning as pl
 from lipika.operators import relational as rel
@@ -54,8 +54,8 @@ def ehr_macro_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hit_counts(spark: SparkSession, sf_dir: str, cls: str, rule: h.Rule) -> DataFrame:
     pairs = tagged_pairs(spark, sf_dir, cls)
     hyp = h.hypothesis(plain_norm("hypothesis"), plain_tight("hypothesis"), F.col("hypothesis"))
-    hits = F.size(F.filter("entity_tokens", lambda t: rule(t["surface"], F.lower(t["surface"]), F.col("_hyp"), F.col("lang")))).cast("long")
-    rows = pairs.withColumn("_hyp", hyp).select("lang", F.size("entity_tokens").cast("long").alias("n"), hits.alias("h"))
+    hits = once(hyp, lambda y: F.size(F.filter("entity_tokens", lambda t: rule(t["surface"], F.lower(t["surface"]), y, F.col("lang"))))).cast("long")
+    rows = pairs.select("lang", F.size("entity_tokens").cast("long").alias("n"), hits.alias("h"))
     return rows.groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.sum("h").alias("n_hits"))
 
 
