@@ -143,6 +143,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def fit(training: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float] | None:
     """Languages, idf, weights and temperature from training rows (doc_id, text, lang), or None if there are none."""
+    spark = training.sparkSession
     # DIM sums, whatever the corpus
     sums = training.select("text").mapInArrow(_document_frequency, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIM)
@@ -155,8 +156,10 @@ def fit(training: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]
     if not n_docs:
         return None
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    # few rows of each language get as far as the ranking, however many there are
-    near = training.select("doc_id", "lang", hash_place("doc_id").alias("place")).join(training.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(F.col("place") < SAMPLE_ROOM * SAMPLE_PER_LANG / F.col("n"))
+    # few rows of each language get as far as the ranking, however many there are; one row per language, of which the
+    # sample brings hundreds of documents to the driver anyway
+    sizes = spark.createDataFrame(training.groupBy("lang").agg(F.count("*").alias("n")).collect(), "lang string, n long")
+    near = training.select("doc_id", "lang", hash_place("doc_id").alias("place")).join(F.broadcast(sizes), "lang").where(F.col("place") < SAMPLE_ROOM * SAMPLE_PER_LANG / F.col("n"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     ids = near.withColumn("no", order).where(F.col("no") <= SAMPLE_PER_LANG).select("doc_id", "lang")
     # at most SAMPLE_PER_LANG ids of each language
