@@ -277,7 +277,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs without a hit, columns unchanged. A doc_id goes with all its rows if one of them is hit."""
+    """The rows of docs without a hit, columns unchanged. A doc_id, or none, goes with all its rows if one of them is hit."""
     index = build_index(docs)
     found = search_phrases(index, benchmark, window).where(F.exists("spans", lambda s: F.octet_length(s) > 0))
     bad = materialize(found.select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,13 +107,14 @@ def _land(p: np.ndarray, size: np.ndarray, left: list[int]) -> None:
 
 
 def _fly(units: DataFrame, blocks: int, seed: int, land: bool) -> DataFrame:
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "doc_id", "size"], kind="stable", na_position="last")
-        rng = np.random.default_rng([seed, blocks, int(pdf["block"].iloc[0]), int(pdf["rank"].iloc[0]) & (2**63 - 1), int(pdf["source_no"].iloc[0])])
-        return pdf.assign(p=flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(), rng, land))
+    def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in ("rank", "doc_id", "size")])
+        rng = np.random.default_rng([seed, blocks, t.column("block")[0].as_py(), t.column("rank")[0].as_py() & (2**63 - 1), t.column("source_no")[0].as_py()])
+        p = flight(t.column("p").to_numpy(), t.column("size").to_numpy(), rng, land)
+        return t.set_column(t.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     units = units.withColumn("block", F.pmod(F.col("rank"), F.lit(blocks)))
-    return units.groupBy("source_no", "block").applyInPandas(one, units.schema)
+    return units.groupBy("source_no", "block").applyInArrow(one, units.schema)
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:

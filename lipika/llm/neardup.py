@@ -351,11 +351,14 @@ class _Sets:
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay: of each class, the document of smallest doc_id; columns unchanged."""
+    """The rows of docs that stay: of each class, the document of smallest doc_id; columns unchanged.
+
+    Rows without a doc_id can't be told apart, so they stay.
+    """
     classes = materialize(near_duplicates(docs, threshold), "classes")
     # the few that go are joined, not the many that stay; by shuffle at any size, as their number has no bound
-    gone = classes.where("not (doc_id <=> class_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
     if classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
         # repeated rows: one of them stays
         kept = kept.withColumn("_id", F.coalesce("doc_id", F.monotonically_increasing_id() - F.lit(2**62))).dropDuplicates(["_id"])
