@@ -274,6 +274,20 @@ def test_near_duplicates(spark, docs, odd):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_null_and_very_large_ids(spark):
+    rng = random.Random(14)
+    a, big = prose(rng, 80), 2**60 + 1
+    rows = [(None, a, "en", "s", 1), (None, None, None, None, None), (big, a, "en", "s", 1), (big + 2, prose(rng, 60), None, None, None), (None, prose(rng, 70), "de", None, 3), (5, "", "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    ids = Counter(r[0] for r in rows)
+    for out in (mixing.mix(df), neardup.near_duplicates(df), decontamination.contamination(df, bench), langid.identify(df), licenses.scan(df), quality.quality(df), sharding.shard_documents(df), lmscore.score_documents(df)):
+        assert Counter(r.doc_id for r in out.collect()) == ids
+    assert Counter(r.doc_id for r in neardup.representatives(df).collect()) == ids
+    assert {r.doc_id for r in decontamination.clean_documents(df, bench).collect()} == {big + 2, 5}
+    assert set(r.doc_id for r in mixing.mixed_documents(df).collect()) <= set(ids)
+
+
 def test_chains_and_dense_groups(spark):
     """A large group whose members are near the threshold of each other."""
     rng = random.Random(11)
