@@ -175,7 +175,8 @@ def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, roll: int = ROLL
     # the digests of all pages, without the pages
     sums = materialize(src.select("page_id", size.alias("bytes"), F.sha1(F.coalesce("html", F.lit(""))).alias("sha1")), "warc-digests")
     bounds = _bounds(sums, target)
-    same = sums.where(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    # written down, so that the join is of two plain shuffles and a large group of copies can be split
+    same = materialize(sums.where(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1"), "warc-copies")
     shard = F.lit(len(bounds))
     if bounds:
         shard = F.when(F.col("page_id").isNull(), len(bounds)).otherwise(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("page_id"))))
