@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, copy_of (smallest doc_id with the same words) of every row of docs (doc_id, text)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(src.mapInArrow(_sign, "doc_id long, f0 long, f1 long, bands array<long>, signature binary"), "signatures")
-    kept = signed.where("f0 is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("copy_of"))
+    # written down, so that the join is of two plain shuffles and a large group of copies can be split
+    kept = materialize(signed.where("f0 is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("copy_of")), "copies")
     member = materialize(signed.select("doc_id", "f0", "f1").join(kept, ["f0", "f1"], "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of")), "members")
     # representatives only, and of these only buckets with two or more
     reps = member.where("doc_id = copy_of").select("doc_id").distinct()
@@ -224,7 +225,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = materialize(verified(sets, pairs, threshold), "links")
     labels = components(links)
     # buckets that still hold several classes: members are compared with those of other classes, the likeliest first
-    spent = [signed, rows, shared, pairs, sets, links]
+    spent = [signed, kept, rows, shared, pairs, sets, links]
     signatures = signed.select(F.col("doc_id").alias("id"), "signature").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     for exact in (False, True):
         placed = materialize(open_members(shared, labels), "open-buckets")
@@ -250,7 +251,8 @@ def open_members(shared: DataFrame, labels: DataFrame) -> DataFrame:
     placed = shared.join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label")).distinct()
     counts = placed.groupBy("bucket", "label").agg(F.count("*").alias("mates"))
     several = counts.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    return placed.join(counts.join(several, "bucket"), ["bucket", "label"])
+    # written down, so that a large class of a bucket can be split
+    return placed.join(materialize(counts.join(several, "bucket"), "open-classes"), ["bucket", "label"])
 
 
 def _small_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
