@@ -5,7 +5,9 @@ its weight; its arrivals fall on random registers, and a shingle stops once its
 register's earliest one. The shingle that is first in a register is the register's value, and two documents agree in a
 register with the probability Jaccard of their weighted shingles. Registers are cut into bands; documents that agree in a
 whole band are candidates; a candidate pair is a link if its exact probability Jaccard (or its plain Jaccard) reaches the
-threshold. Classes are the connected components of the links.
+threshold. Texts with a repeated shingle have a second signature and bands of it, in which every shingle weighs one: these
+find what is alike by plain Jaccard alone. Without repeats both signatures are the same. Classes are the connected
+components of the links.
 
 Skew: exact copies (equal word sequences) are folded into their smallest doc_id before anything else. In a bucket, each
 member is paired with the bucket's leader, not with all others; bands have different leaders. In buckets that still hold
@@ -20,6 +22,7 @@ input gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +87,15 @@ def fingerprints(words: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.
     return out[0], out[1]
 
 
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """Hash of each band of signatures (n, BANDS)."""
+    with np.errstate(over="ignore"):
+        band = np.zeros((len(sig), BANDS), U64)
+        for r in range(BAND_ROWS):
+            band = mix64(band * U64(31) + sig[:, r::BAND_ROWS][:, :BANDS].astype(U64) + U64(r + 1))
+    return band
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     m = BANDS * BAND_ROWS
     for batch in batches:
@@ -99,24 +111,37 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(n)
             dense = np.cumsum(n > 0) - 1
             sig = prob_minhash(dense[row], item, weight, len(full), m)
-            with np.errstate(over="ignore"):
-                band = np.zeros((len(full), BANDS), U64)
-                for r in range(BAND_ROWS):
-                    band = mix64(band * U64(31) + sig[:, r::BAND_ROWS][:, :BANDS].astype(U64) + U64(r + 1))
+            band = _bands(sig)
+            # texts with a repeated shingle: the bands of both signatures, those of the second only where they differ
+            heavy = np.unique(dense[row[weight > 1]])
+            among = np.full(len(full), -1)
+            among[heavy] = np.arange(len(heavy))
+            of = among[dense[row]]
+            plain = prob_minhash(of[of >= 0], item[of >= 0], np.ones((of >= 0).sum()), len(heavy), m)
+            plain_band = _bands(plain)
+            each = [band[k] for k in range(len(full))]
+            skip = [np.zeros(BANDS, bool)] * len(full)
+            for k, x in enumerate(heavy.tolist()):
+                each[x] = np.concatenate([band[x], plain_band[k]])
+                skip[x] = np.append(skip[x], plain_band[k] == band[x])
             sizes = np.zeros(j - i, np.int64)
-            sizes[full] = BANDS
-            regs = [None] * (j - i)
+            sizes[full] = [len(x) for x in each]
+            buckets = pa.array(np.concatenate([np.zeros(0, U64), *each]).view(np.int64), pa.int64(), mask=np.concatenate([np.zeros(0, bool), *skip]))
+            regs, plain_regs = [None] * (j - i), [None] * (j - i)
             for k, x in enumerate(full):
                 regs[x] = sig[k].tobytes()
+            for k, x in enumerate(full[heavy]):
+                plain_regs[x] = plain[k].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     ids[i:j],
                     pa.array(f0, mask=null),
                     pa.array(f1, mask=null),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(band.ravel().view(np.int64), pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), buckets),
                     pa.array(regs, pa.binary()),
+                    pa.array(plain_regs, pa.binary()),
                 ],
-                names=["doc_id", "f0", "f1", "bands", "signature"],
+                names=["doc_id", "f0", "f1", "bands", "signature", "plain"],
             )
 
 
@@ -208,25 +233,27 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, copy_of (smallest doc_id with the same words) of every row of docs (doc_id, text)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(src.mapInArrow(_sign, "doc_id long, f0 long, f1 long, bands array<long>, signature binary"), "signatures")
+    signed = materialize(src.mapInArrow(_sign, "doc_id long, f0 long, f1 long, bands array<long>, signature binary, plain binary"), "signatures")
     # written down, so that the join is of two plain shuffles and a large group of copies can be split
     kept = materialize(signed.where("f0 is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("copy_of")), "copies")
     member = materialize(signed.select("doc_id", "f0", "f1").join(kept, ["f0", "f1"], "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of")), "members")
     # representatives only, and of these only buckets with two or more
     reps = member.where("doc_id = copy_of").select("doc_id").distinct()
     sig = signed.where("f0 is not null and size(bands) > 0").join(reps, "doc_id", "left_semi")
-    rows = sig.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
+    rows = sig.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket")).where("bucket is not null")
+    # both signatures of a text share their buckets with either of another; the second one's count only in buckets that stay open
+    rows = rows.withColumn("second", F.col("band") >= BANDS).withColumn("band", F.col("band") % BANDS)
     mask = F.element_at(F.array(*[F.lit(x) for x in LEADERS]), (F.col("band") % len(LEADERS)) + 1)
-    rows = materialize(rows.select("id", "band", F.xxhash64("band", "bucket").alias("bucket"), mask.alias("mask")), "bands")
-    leaders = rows.groupBy("bucket", "mask").agg(F.min(F.expr("id ^ mask")).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    shared = materialize(rows.join(leaders.select("bucket", (F.expr("m ^ mask")).alias("leader")), "bucket").select("bucket", "band", "id", "leader"), "buckets")
-    pairs = materialize(shared.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "pairs")
+    rows = materialize(rows.select("id", "second", "band", F.xxhash64("band", "bucket").alias("bucket"), mask.alias("mask")), "bands")
+    leaders = rows.groupBy("bucket", "mask").agg(F.min(F.expr("if(second, null, id ^ mask)")).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    shared = materialize(rows.join(leaders.select("bucket", (F.expr("m ^ mask")).alias("leader")), "bucket").select("bucket", "band", "id", "second", "leader"), "buckets")
+    pairs = materialize(shared.where("not second and id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "pairs")
     sets = shingle_sets(src, shared.select("id").distinct())
     links = materialize(verified(sets, pairs, threshold), "links")
     labels = components(links)
     # buckets that still hold several classes: members are compared with those of other classes, the likeliest first
     spent = [signed, kept, rows, shared, pairs, sets, links]
-    signatures = signed.select(F.col("doc_id").alias("id"), "signature").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    signatures = signed.select(F.col("doc_id").alias("id"), "signature", "plain").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     for exact in (False, True):
         placed = materialize(open_members(shared, labels), "open-buckets")
         spent.append(placed)
@@ -278,10 +305,11 @@ SMALL_SLACK = 0.01
 def cross_pairs(placed: DataFrame, threshold: float, exact: bool) -> DataFrame:
     """Pairs of different labels within a bucket that may be links.
 
-    placed: bucket, band, id, label, mates, signature[, small, heavy]. A bucket is dealt into blocks of about OPEN_BLOCK
+    placed: bucket, band, id, label, mates, signature, plain[, small, heavy]. A bucket is dealt into blocks of about OPEN_BLOCK
     members; every two blocks are compared in one task, and only the pairs found leave it. Members of the smaller class
-    look for partners in the larger one: first by signature, each for its LIKELIEST; when `exact`, all whose signatures
-    agree about as often as threshold pairs do are compared shingle by shingle, a pair only in the first band it shares.
+    look for partners in the larger one: first by signature, each for its LIKELIEST; when `exact`, all whose signatures, of
+    either kind, agree about as often as threshold pairs do are compared shingle by shingle, a pair only in the first band
+    it shares.
     """
     members = F.count("*") / OPEN_BLOCK
     sizes = placed.groupBy("bucket").agg(F.ceil(F.greatest(members, F.sum(F.octet_length("small")) / OPEN_BYTES) if exact else members).cast("int").alias("blocks"))
@@ -295,21 +323,29 @@ def cross_pairs(placed: DataFrame, threshold: float, exact: bool) -> DataFrame:
         ids, labels, mates, block = (t.column(c).to_numpy() for c in ("id", "label", "mates", "block"))
         x, y, band = (t.column(c)[0].as_py() for c in ("x", "y", "band"))
         sig = np.stack([np.frombuffer(s.as_buffer(), np.uint32) for s in t.column("signature")])
+        # a text without repeated shingles has one signature for both
+        own = [s.as_buffer() for s in t.column("plain")]
+        repeats = np.array([p is not None for p in own])
+        plain = sig.copy() if repeats.any() else sig
+        for i in np.flatnonzero(repeats):
+            plain[i] = np.frombuffer(own[i], np.uint32)
         sets = _Sets(t) if exact else None
         a, b = [], []
         blocks = [np.flatnonzero(block == x), np.flatnonzero(block == y)]
         for left, right in [blocks] if x == y else [blocks, blocks[::-1]]:
             for i in left:
                 k = right[(labels[right] != labels[i]) & ((mates[right] > mates[i]) | ((mates[right] == mates[i]) & (labels[right] > labels[i])))]
-                same = sig[k] == sig[i]
-                agree = same.sum(axis=1)
+                agree = (sig[k] == sig[i]).sum(axis=1)
+                if repeats[i] or repeats[k].any():
+                    agree = np.maximum(agree, (plain[k] == plain[i]).sum(axis=1))
                 keep = agree >= least
+                k, agree = k[keep], agree[keep]
                 if sets is None:
-                    k, agree = k[keep], agree[keep]
                     k = k[np.lexsort((ids[k], -agree))[:LIKELIEST]]
                 else:
-                    keep &= same.reshape(len(k), BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == band
-                    k = k[keep]
+                    pairs = itertools.product((sig, plain), repeat=2) if repeats[i] or repeats[k].any() else [(sig, sig)]
+                    shared = np.logical_or.reduce([(u[k] == v[i]).reshape(len(k), BANDS, BAND_ROWS).all(axis=2) for u, v in pairs])
+                    k = k[shared.argmax(axis=1) == band]
                     k = k[sets.similarities(i, k) >= threshold - SMALL_SLACK]
                 a += np.minimum(ids[k], ids[i]).tolist()
                 b += np.maximum(ids[k], ids[i]).tolist()

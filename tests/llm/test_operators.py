@@ -302,6 +302,30 @@ def test_chains_and_dense_groups(spark):
     assert got == brute_classes(rows)
 
 
+def brute_links(rows, threshold=0.8):
+    """Classes by all pairs, with both measures of each."""
+    sets = {i: shingle_counts(t) for i, t, *_ in rows}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        x, y = sets[a], sets[b]
+        if x.keys() & y.keys() and max(len(x.keys() & y.keys()) / len(x.keys() | y.keys()), brute_jp(x, y)) >= threshold:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_texts_that_differ_by_a_repeated_passage(spark):
+    """Alike by plain Jaccard only: weighted registers hardly ever share a band."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(12):
+        w = prose(rng, 300).split()
+        rows += [(2 * i, " ".join(w), "en", "s", 0), (2 * i + 1, " ".join(w[:64] * 20 + w[64:]), "en", "s", 0)]
+    assert all(brute_jp(shingle_counts(rows[i][1]), shingle_counts(rows[i + 1][1])) < 0.6 for i in range(0, 24, 2))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_links(rows) == {i: i - i % 2 for i in range(24)}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 10), (4, 5), (20, 21), (21, 22), (22, 20)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 201 + i) for i in range(20)]
     got = {r.id: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
