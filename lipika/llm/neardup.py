@@ -166,7 +166,8 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     """The larger of probability Jaccard and plain Jaccard."""
     common = len(np.intersect1d(a, b, assume_unique=True))
     plain = common / max(1, len(a) + len(b) - common)
-    if plain < 0.3:
+    # without a common shingle both are zero, without weights over one they are equal
+    if not common or (wa.max() == 1 and wb.max() == 1):
         return plain
     return max(plain, probability_jaccard(a, wa, b, wb))
 
@@ -381,7 +382,7 @@ class _Sets:
         found = own[np.minimum(np.searchsorted(own, items), len(own) - 1)] == items
         common = np.bincount(np.repeat(np.arange(len(k)), self.n[k])[found], minlength=len(k))
         out = common / (self.n[k] + len(own) - common)
-        for x in np.flatnonzero(out >= 0.3):
+        for x in np.flatnonzero(common):
             j = k[x]
             if len(self.heavy[i]) or len(self.heavy[j]):
                 out[x] = max(out[x], probability_jaccard(own, self.weights(i), self.of(j), self.weights(j)))

@@ -11,6 +11,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lipika.llm import decontamination, langid, licenses, lmscore, mixing, neardup, quality, rollup, sharding, warc
@@ -326,6 +327,33 @@ def test_texts_that_differ_by_a_repeated_passage(spark):
     assert got == brute_links(rows) == {i: i - i % 2 for i in range(24)}
 
 
+def test_texts_that_share_a_heavily_repeated_passage(spark):
+    """Alike by probability Jaccard only: plain Jaccard is low."""
+    rng = random.Random(22)
+    rows = []
+    for i in range(6):
+        block = prose(rng, 40)
+        rows += [(2 * i + k, " ".join([*[block] * 50, prose(rng, 80)]), "en", "s", 0) for k in range(2)]
+    for i in range(0, 12, 2):
+        x, y = shingle_counts(rows[i][1]), shingle_counts(rows[i + 1][1])
+        assert len(x.keys() & y.keys()) / len(x.keys() | y.keys()) < 0.3 and brute_jp(x, y) > 0.9
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_links(rows) == {i: i - i % 2 for i in range(12)}
+
+
+def test_open_buckets_compare_repeated_passages():
+    """Of both kinds of pairs, the exact comparison of open buckets gives the larger measure."""
+    rng = random.Random(23)
+    w, block = prose(rng, 300).split(), prose(rng, 40)
+    for a, b in ((" ".join(w), " ".join(w[:64] * 20 + w[64:])), tuple(" ".join([*[block] * 50, prose(rng, 80)]) for _ in range(2))):
+        data = np.frombuffer((a + b).encode(), np.uint8)
+        row, item, weight, _, _ = neardup.weighted_shingles(data, np.array([0, len(a), len(a) + len(b)]))
+        t = pa.table({"small": [(item[row == k] >> np.uint64(16)).astype(np.uint32).tobytes() for k in (0, 1)], "heavy": [weight[row == k].astype(np.int32).tobytes() for k in (0, 1)]})
+        x, y = shingle_counts(a), shingle_counts(b)
+        want = max(len(x.keys() & y.keys()) / len(x.keys() | y.keys()), brute_jp(x, y))
+        assert neardup._Sets(t).similarities(0, np.array([1])).tolist() == pytest.approx([want])
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 10), (4, 5), (20, 21), (21, 22), (22, 20)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 201 + i) for i in range(20)]
     got = {r.id: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
