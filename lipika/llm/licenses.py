@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 Rules are regular expressions over a text's words (lower-cased ASCII, joined by single spaces). Each has a keyword that
-must occur before its expression is tried, a priority, a label and a confidence. A text without any keyword is passed by
+every match holds and that must occur before its expression is tried, a priority, a label and a confidence. A text without any keyword is passed by
 with one search. Of the detections, those inside the interval of another of the same or a higher priority are suppressed
 (of equal intervals the higher priority stays, then the earlier rule). Base phrases are rules too; their labels always stay.
 
@@ -23,7 +23,7 @@ SEPARATOR = "[" + "".join(rf"\x{b:02X}" for b in range(128) if not chr(b).isalnu
 #: The base phrases and their labels.
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-#: Licenses by hand: label | keyword | expression of the name | expression of the identifier.
+#: Licenses by hand: label | keyword | expression of the name | expression of the identifier, if any of its own.
 _V = r"(?: version| v)?"
 _GPL_TAIL = r"(?: as published by the free software foundation)?(?: (?:either )?version| v)?"
 LICENSES = [
@@ -43,10 +43,11 @@ LICENSES = [
     ("apache-1.0", "apache", r"apache (?:software )?licen[cs]e" + _V + r" 1 0", r"apache 1 0"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e" + _V + r" 1 1", r"apache 1 1"),
     ("apache-2.0", "apache", r"apache (?:software )?(?:licen[cs]e)?" + _V + r" 2(?: 0)?", r"apache 2 0"),
-    ("mit", "mit", r"(?:the )?(?:mit|expat|x11) (?:open source )?licen[cs]e", r"mit(?: 0)?"),
+    ("mit", "licen", r"(?:the )?(?:mit|expat|x11) (?:open source )?licen[cs]e", r"mit(?: 0)?"),
     ("mit-modern", "mit", r"mit licen[cs]e modern variant", r"mit modern variant"),
     ("isc", "isc", r"isc licen[cs]e", r"isc"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd(?: licen[cs]e)?|(?:bsd )?2 clause(?: bsd)? licen[cs]e|freebsd licen[cs]e)", r"bsd 2 clause(?: patent)?"),
+    ("bsd-2-clause", "bsd", r"(?:simplified bsd(?: licen[cs]e)?|(?:bsd 2 clause(?: bsd)?|2 clause bsd) licen[cs]e|freebsd licen[cs]e)", r"bsd 2 clause(?: patent)?"),
+    ("bsd-2-clause", "2 clause", r"(?<! bsd )2 clause licen[cs]e", None),
     ("bsd-3-clause", "bsd", r"(?:(?:new|modified|revised) bsd(?: licen[cs]e)?|bsd 3 clause(?: licen[cs]e)?|3 clause bsd(?: licen[cs]e)?)", r"bsd 3 clause(?: clear)?"),
     ("bsd-4-clause", "bsd", r"(?:original bsd(?: licen[cs]e)?|bsd 4 clause(?: licen[cs]e)?)", r"bsd 4 clause(?: uc)?"),
     ("bsd", "bsd", r"bsd(?: style| type)? licen[cs]e", r"bsd(?: source code)?"),
@@ -78,7 +79,7 @@ LICENSES = [
     ("wtfpl", "what the fuck you want", r"do what the fuck you want to public licen[cs]e", r"wtfpl 2"),
     ("beerware", "beerware", r"(?:the )?beerware licen[cs]e", r"beerware"),
     ("postgresql", "postgresql", r"postgresql licen[cs]e", r"postgresql"),
-    ("python-2.0", "python", r"(?:python software foundation|psf) licen[cs]e(?: agreement)?(?: version 2)?", r"(?:python|psf) 2 0"),
+    ("python-2.0", "licen", r"(?:python software foundation|psf) licen[cs]e(?: agreement)?(?: version 2)?", r"(?:python|psf) 2 0"),
     ("ruby", "ruby", r"ruby licen[cs]e", r"ruby"),
     ("php-3.01", "php", r"php licen[cs]e(?: version)?(?: 3 01?)?", r"php 3 01?"),
     ("openssl", "openssl", r"openssl licen[cs]e", r"openssl"),
@@ -95,7 +96,7 @@ LICENSES = [
     ("odbl-1.0", "open database", r"open (?:data commons open )?database licen[cs]e(?: v? ?1 0)?", r"odbl 1 0"),
     ("odc-by-1.0", "open data commons", r"open data commons attribution licen[cs]e(?: v? ?1 0)?", r"odc by 1 0"),
     ("pddl-1.0", "public domain dedication", r"public domain dedication and licen[cs]e(?: v? ?1 0)?", r"pddl 1 0"),
-    ("openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[cs]e)?", r"openrail(?: m)?"),
+    ("openrail", "rail", r"(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[cs]e)?", r"openrail(?: m)?"),
     ("cc0-1.0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?", r"cc0 1 0"),
     ("cc-by-nc-nd", "cc by", r"cc by nc nd(?: [1-4] [05])?", r"cc by nc nd [1-4] [05]"),
     ("cc-by-nc-sa", "cc by", r"cc by nc sa(?: [1-4] [05])?", r"cc by nc sa [1-4] [05]"),
@@ -122,8 +123,8 @@ PASSAGES = [
     ("bsd-3-clause", "endorse or promote", r"neither the name of (?:\S+ ){1,12}nor the names of its contributors may be used to endorse or promote products"),
     ("bsd-4-clause", "acknowledgement", r"all advertising materials mentioning features or use of this software must display the following acknowledgement"),
     ("gpl", "free software", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
-    ("gpl-2.0", "general public", r"either version 2 of the licen[cs]e or at your option any later version"),
-    ("gpl-3.0", "general public", r"either version 3 of the licen[cs]e or at your option any later version"),
+    ("gpl-2.0", "any later version", r"either version 2 of the licen[cs]e or at your option any later version"),
+    ("gpl-3.0", "any later version", r"either version 3 of the licen[cs]e or at your option any later version"),
     ("gpl", "general public", r"you should have received a copy of the gnu general public licen[cs]e"),
     ("lgpl", "lesser general public", r"you should have received a copy of the gnu lesser general public licen[cs]e"),
     ("agpl-3.0", "affero", r"you should have received a copy of the gnu affero general public licen[cs]e"),
@@ -162,7 +163,8 @@ def rules() -> list[dict]:
     """All rules in order: for each license an identifier, a statement and a name rule; then passages; then base phrases."""
     out = []
     for label, keyword, name, ident in LICENSES:
-        out.append((label, "spdx", rf"spdx licen[cs]e identifier {ident}", IDENTIFIER, False))
+        if ident:
+            out.append((label, "spdx", rf"spdx licen[cs]e identifier {ident}", IDENTIFIER, False))
         out.append((label, keyword, _UNDER + rf"(?:{name})", STATEMENT, False))
         out.append((label, keyword, name, NAME, False))
     out += [(label, keyword, passage, PASSAGE, False) for label, keyword, passage in PASSAGES]

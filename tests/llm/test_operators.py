@@ -584,6 +584,51 @@ def test_licenses(spark, docs, odd):
     assert licenses.scan(odd).count() == len(corpus()) and licenses.scan(empty(spark)).count() == 0
 
 
+def fewest(parsed):
+    """What a parsed expression can match, with every alternative and every choice of one or none taken."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(v) for o, v in arg if str(o) == "LITERAL"] or ["1"]
+        elif name == "MAX_REPEAT":
+            inner = fewest(arg[2])
+            more = [*([""] if arg[0] == 0 else []), *inner]
+        elif name == "SUBPATTERN":
+            more = fewest(arg[3])
+        elif name == "BRANCH":
+            more = [x for b in arg[1] for x in fewest(b)]
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+            more = [""]
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+def test_license_keywords_are_in_every_match():
+    for r in licenses.rules():
+        lacking = [x for x in fewest(re._parser.parse(r["pattern"])) if r["keyword"] not in x]
+        assert not lacking, (r["keyword"], lacking[:3])
+
+
+def test_license_names_without_their_usual_word(spark, monkeypatch):
+    """Against brute force that tries every rule on every text."""
+    want = {
+        "Released under the Expat License": "mit", "X11 license": "mit", "PSF licence agreement": "python-2.0", "Open RAIL (M) License": "openrail", "2-clause license": "bsd-2-clause",
+        "BSD 2-clause license": "bsd-2-clause", "2-clause BSD license": "bsd-2-clause", "FreeBSD 2 clause license": "bsd-2-clause", "terms of the trail": "",
+        "either version 2 of the License, or (at your option) any later version": "gpl-2.0",
+    }
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*want, *LICENSED[:-1]])]
+    got, every = by_id(licenses.scan(spark.createDataFrame(rows, DOCS))), licenses.rules()
+    monkeypatch.setattr(licenses, "rules", lambda: [r | {"keyword": ""} for r in every])
+    for i, t, *_ in rows:
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == brute_licenses(t), t
+        assert r.labels == want.get(t, r.labels) and (r.score > 0) == (r.labels != "")
+
+
 def test_license_rules():
     rules = licenses.rules()
     assert len(rules) >= 200 and len({r["no"] for r in rules}) == len(rules)
