@@ -202,7 +202,7 @@ def replace_first_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rewrite_spelled_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentences(table(spark, sf_dir, "documents"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), "text")
     langs = F.element_at(F.array(*map(F.lit, ["te", "ta", "hi", "en"])), (F.col("ord") % 4 + 1).cast("int"))
     tagged = rows.withColumn("lang", langs).withColumn("entity_tokens", tagger.tag("text", F.lit("digits")))
     return changed_counts(rewrite(tagged))

@@ -43,3 +43,10 @@ def test_query(spark, duck, name):
     want = duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_digits_after_the_first_line_are_respelled(spark, tmp_path):
+    rows = [(0, "no digit\nroom 12"), (1, "7 first\nnone"), (2, "none\n\nat all"), (3, None), (4, "a\nb\n5")]
+    spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.lang: (r.n, r.n_changed) for r in QUERIES["rewrite_spelled_digits"](spark, str(tmp_path)).collect()}
+    assert got == {"te": (2, 2), "ta": (1, 1), "hi": (1, 0), "en": (1, 0), None: (5, 3)}
