@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset and all is one machine."""
     bounded_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lipika-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -54,6 +57,12 @@ def table_path(df: DataFrame) -> str:
     return df.inputFiles()[0].rsplit("/", 1)[0]
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared root."""
+    path_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path_, True)
+
+
 def drop_scratch(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete materialised tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -63,6 +72,35 @@ def drop_scratch(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """Names like these that are not among `columns`, however upper and lower case are written."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def part_number(file: str) -> int:
+    """Number of the partition that wrote a Parquet file."""
+    return int(file.split("-")[1])
+
+
+def numbered(ordered: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a table that is partitioned by range and sorted; read it back with `place`, each row's number in the whole order.
+
+    The driver sees one count of each written file.
+    """
+    spark = ordered.sparkSession
+    rows = materialize(ordered, name, **options).select("*", F.col("_metadata.file_name").alias("place_file"), F.col("_metadata.row_index").alias("place_at"))
+    files = sorted(((r.place_file, r.n) for r in rows.groupBy("place_file").agg(F.count("*").alias("n")).collect()), key=lambda r: part_number(r[0]))
+    bases = np.concatenate([[0], np.cumsum([n for _, n in files])]) if files else []
+    base = spark.createDataFrame([(f, int(b)) for (f, _), b in zip(files, bases, strict=False)], "place_file string, place_base long")
+    return rows.join(F.broadcast(base), "place_file").select(*ordered.columns, (F.col("place_base") + F.col("place_at")).alias("place"))
+
+
 def hash_place(*cols: str) -> Column:
     """A reproducible place in [0, 1) for a row's values."""
     return F.pmod(F.xxhash64(*cols), F.lit(2**52)) / F.lit(float(2**52))
