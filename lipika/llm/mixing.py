@@ -7,50 +7,79 @@ most two fractional ones are left of each class in each block; the left-overs of
 and the last few of a source are landed with the smallest token error. Blocks hold about 16,384 rows whatever the source, so a hot source is cut
 into many blocks.
 
-Defined results: null text has size 0 and is taken like any other document (its words are 0); a source of size 0 has
-target 0 and takes nothing; equal (source, doc_id, size) rows are sampled together and share the copies as evenly as
-whole rows allow; null source is a source of its own, ordered last; empty input gives an empty result; other columns are
-not read. The draw depends on the rows' values and the seed alone, so reruns agree.
+The table of sources stays a table: sources are numbered in their global order, and the sharing out goes round by round
+over sums of that table, so the driver holds two numbers, however many sources there are.
+
+Defined results: null and empty text have size 0 and are taken like any other document (its words are 0); very long texts are
+counted whole; a source of size 0 has target 0 and takes nothing; rows of equal source, doc_id and text are sampled together
+and share the copies as evenly as whole rows allow; null source is a source of its own, ordered last; empty input gives an
+empty result; other columns are not read, and mixed_documents returns them whatever their names. The draw depends on the
+rows' values and the seed alone, so reruns agree; equal ranks are ordered by doc_id and size.
 """
 
 from __future__ import annotations
 
-from fractions import Fraction
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lipika.llm.common import materialize
+from lipika.llm.common import drop_scratch, fresh, materialize, numbered
 
 BLOCK_ROWS = 16_384
 #: Fractions that a block leaves at most: two in each size class.
 LEFT_ROWS = 64
 LANDING_BEAM = 256
 MAX_REPEAT = 3
-#: Up to so many sources, their table is sent to every executor; beyond, it is joined by shuffle.
-BROADCAST_SOURCES = 50_000
+#: Weights of sources in their order, repeating.
+WEIGHTS = 3
+#: Equal rows that one row is spread to at a time.
+SPREAD = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: list[int], total: int | None = None, weights: list[int] | None = None) -> list[Fraction]:
-    """Exact targets of sources in order: shares of `total` by weight, at most MAX_REPEAT times a source's size.
+def _exact(n: int) -> Column:
+    return F.lit(Decimal(n)).cast("decimal(38,0)")
 
-    What a capped source leaves is shared again by weight among the others until none is above its cap.
+
+def source_plan(units: DataFrame) -> DataFrame:
+    """source, source_no, source_size, target, whole, part of every source of units (source, size, n).
+
+    A source's target is its share by weight, at most MAX_REPEAT times its size; what a capped source leaves is shared again
+    by weight among the others until none is above its cap. A share that is over a cap stays over it as shares grow, so each
+    round caps all sources over theirs and shares the rest anew. whole + part is target / source_size.
     """
-    weights = weights or [1 + i % 3 for i in range(len(sizes))]
-    left = Fraction(sum(sizes) if total is None else total)
-    out: list[Fraction | None] = [None] * len(sizes)
-    while open_ := [i for i, t in enumerate(out) if t is None]:
-        unit = left / sum(weights[i] for i in open_)
-        over = [i for i in open_ if unit * weights[i] > MAX_REPEAT * sizes[i]]
-        for i in over or open_:
-            out[i] = Fraction(MAX_REPEAT * sizes[i]) if over else unit * weights[i]
-        left -= sum((out[i] for i in over), Fraction(0))
-        if not over:
+    spark = units.sparkSession
+    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
+    by = F.col("source").asc_nulls_last()
+    plan = numbered(sizes.repartitionByRange(by).sortWithinPartitions(by), "mix-sources").withColumn("weight", F.col("place") % WEIGHTS + 1)
+    size, weight = F.col("source_size").cast("decimal(19,0)"), F.col("weight").cast("decimal(1,0)")
+    over = F.lit(False)
+    share = None
+    while True:
+        # what is left for the sources under their caps, and their weights
+        r = plan.agg(F.sum("source_size").alias("total"), F.sum(F.when(over, F.col("source_size"))).alias("capped"), F.sum(F.when(~over, F.col("weight"))).alias("weights")).first()
+        left, weights = (r.total or 0) - MAX_REPEAT * (r.capped or 0), r.weights or 0
+        if (left, weights) == share or not weights:
             break
-    return out  # type: ignore[return-value]
+        share = left, weights
+        over = _exact(left) * weight > _exact(MAX_REPEAT * weights) * size
+    want, base = _exact(left) * weight, _exact(max(weights, 1)) * size  # a share's ratio to its source is want / base
+    whole = sum((F.when((F.col("source_size") > 0) & (want >= base * k), 1).otherwise(0) for k in range(1, MAX_REPEAT + 1)), F.lit(0))
+    part = F.when(F.col("source_size") > 0, (want - base * whole).cast("double") / base.cast("double")).otherwise(0.0)
+    out = plan.select(
+        "source",
+        F.col("place").cast("int").alias("source_no"),
+        "source_size",
+        F.when(over, (F.col("source_size") * MAX_REPEAT).cast("double")).otherwise(want.cast("double") / max(weights, 1)).alias("target"),
+        F.when(over, F.when(F.col("source_size") > 0, MAX_REPEAT).otherwise(0)).otherwise(whole).cast("int").alias("whole"),
+        F.when(over, 0.0).otherwise(part).alias("part"),
+    )
+    done = materialize(out, "mix-plan")
+    drop_scratch(spark, plan)
+    return done
 
 
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool) -> np.ndarray:
@@ -118,28 +147,20 @@ def _fly(units: DataFrame, blocks: int, seed: int, land: bool) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies of every row of docs (doc_id, text, source)."""
-    spark = docs.sparkSession
-    units = docs.groupBy("source", "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).agg(F.count("*").alias("n"))
-    units = materialize(units, "mix-units")
-    sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).collect()
-    sources.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    want = targets([r.source_size for r in sources])
-    plan = []
-    for no, (r, t) in enumerate(zip(sources, want, strict=True)):
-        ratio = t / r.source_size if r.source_size else Fraction(0)
-        plan.append((r.source, no, r.source_size, float(t), int(ratio), float(ratio - int(ratio))))
-    plan_df = spark.createDataFrame(plan, "source string, source_no int, source_size long, target double, whole int, part double")
-    if len(plan) <= BROADCAST_SOURCES:
-        plan_df = F.broadcast(plan_df)
-    units = units.join(plan_df.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+    """doc_id, source, size, source_size, target, taken, copies and text_h (hash of the text) of every row of docs (doc_id, text, source)."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    units = materialize(docs.groupBy("source", "doc_id", F.xxhash64("text").alias("text_h"), size.alias("size")).agg(F.count("*").alias("n")), "mix-units")
+    plan = source_plan(units)
+    spent = [units, plan]
+    units = units.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
     # of n equal rows, some are certain; one fraction is left to the flight
-    units = units.select("*", F.floor(F.col("n") * F.col("part") + 1e-9).alias("sure"), F.xxhash64("doc_id", "size", F.lit(seed)).alias("rank")).withColumn("p", F.greatest(F.lit(0.0), F.col("n") * F.col("part") - F.col("sure")))
+    units = units.select("*", F.floor(F.col("n") * F.col("part") + 1e-9).alias("sure"), F.xxhash64("doc_id", "text_h", F.lit(seed)).alias("rank")).withColumn("p", F.greatest(F.lit(0.0), F.col("n") * F.col("part") - F.col("sure")))
     blocks = max(1, units.count() // BLOCK_ROWS)
     settled: list[DataFrame] = []
     kept = units.columns
     while True:
         flown = materialize(_fly(units.select(kept), blocks, seed, blocks == 1), "mix-flight").select(kept)
+        spent.append(flown)
         if blocks == 1:
             settled.append(flown)
             break
@@ -150,22 +171,25 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    extra = F.col("sure") + F.round("p").cast("long")
-    out = out.withColumn("extra", extra).withColumn("no", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    # a row for each of the n rows, spread in two steps, as n has no bound
+    out = out.withColumn("extra", F.col("sure") + F.round("p").cast("long")).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SPREAD))))
+    out = out.withColumn("no", F.explode(F.sequence(F.col("lot") * SPREAD + 1, F.least(F.col("n"), (F.col("lot") + 1) * SPREAD))))
     copies = F.col("whole") + F.when(F.col("no") <= F.col("extra"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    out = materialize(out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"), "text_h"), "mix")
+    drop_scratch(docs.sparkSession, *spent)
+    return out
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken, columns unchanged."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    taken = materialize(mix(docs, seed).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")), "mix-taken")
-    joined = docs.withColumn("_words", size).join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    if taken.where("_n > 1").limit(1).count():
-        no = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_words"))
-        joined = joined.withColumn("_no", no)
-    else:
-        joined = joined.withColumn("_no", F.lit(1))
-    times = F.floor(F.col("_copies") / F.col("_n")) + F.when(F.col("_no") <= F.col("_copies") % F.col("_n"), 1).otherwise(0)
-    return joined.withColumn("_times", times.cast("int")).where("_times > 0").withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
-
+    doc, source, h, copies, n, own, no, each = fresh(docs.columns, "mix_id", "mix_source", "mix_h", "mix_copies", "mix_n", "text_h", "mix_no", "mix_each")
+    taken = materialize(mix(docs, seed).groupBy(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("text_h").alias(h)).agg(F.sum("copies").alias(copies), F.count("*").alias(n)), "mix-taken")
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(h))
+    joined = docs.withColumn(own, F.xxhash64("text")).join(taken.where(F.col(copies) > 0).hint("shuffle_hash"), same)
+    whole = joined.where(F.col(n) == 1).withColumn(no, F.lit(1))
+    if taken.where(F.col(n) > 1).limit(1).count():  # equal rows are numbered
+        several = joined.where(F.col(n) > 1).withColumn(no, F.row_number().over(Window.partitionBy(doc, source, h).orderBy(own)))
+        whole = whole.unionByName(several)
+    times = F.floor(F.col(copies) / F.col(n)) + F.when(F.col(no) <= F.col(copies) % F.col(n), 1).otherwise(0)
+    times = times.cast("int")
+    return whole.where(times > 0).withColumn(each, F.explode(F.sequence(F.lit(1), times))).drop(doc, source, h, copies, n, own, no, each)
