@@ -1,16 +1,19 @@
 """Deterministic sharded WARC 1.1 writer and reader.
 
-Pages are range-sorted by page_id into ranges whose bounds come from an exact histogram (so reruns write the same files),
-each range is rolled into files by compressed size, headers and digests are regenerated from the payload, and a file is
-written under a temporary name, then renamed; the manifest names the files that count. A later attempt of a task
-overwrites nothing: it writes its own temporary file and renames it onto the same name with the same bytes.
+Pages are sorted by page_id and payload digest and cut into ranges where running sums of their bytes, over the whole order,
+fill a range (so reruns write the same files). Each range is rolled into files by compressed size, headers and digests are
+regenerated from the payload, and a file is written under a temporary name, then renamed; the manifest names the files that
+count. A later attempt of a task overwrites nothing: it writes its own temporary file and renames it onto the same name with
+the same bytes.
 
 Records are gzip members of their own. Of records with equal payloads of at least `min_bytes` bytes, the one with the
 smallest page_id is a response, the others are revisits without payload that refer to it.
 
-Defined results: null html is an empty payload; empty payloads equal each other; of rows that repeat page_id and payload,
-the first is the response; a null page_id counts as larger than any other; a null url becomes urn:page:<id>; characters
-that a header cannot hold are percent-encoded; empty input gives no file and an empty result; other columns are not read.
+Defined results: null html is an empty payload; empty payloads equal each other; very long payloads are records like others;
+of rows that repeat page_id and payload, the one with the smallest url is the response (null first; of equal rows, one of
+them), and each has a record id of its own; a null page_id counts as larger than any other and is never referred to; a null
+url becomes urn:page:<id>; characters that a header cannot hold are percent-encoded; empty input gives no file and an empty
+result; columns other than page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,18 +25,23 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import materialize, scratch_path
+from lipika.llm.common import drop_path, drop_scratch, materialize, part_number, scratch_path
 
 #: A file is closed once its compressed bytes reach this.
 ROLL_BYTES = 8_000_000
-#: Payload bytes meant for one range (a task's share).
-RANGE_BYTES = 16_000_000
-HISTOGRAM = 4096
+#: Payload bytes meant for one range (a task's share); of larger corpora, a range holds more, so that MAX_RANGES are enough.
+RANGE_BYTES, MAX_RANGES = 16_000_000, 100_000
+#: What a record takes beside its payload.
+RECORD_BYTES = 500
+#: Stands for no page_id in the order.
+LAST_ID = 2**63 - 1
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "file string, shard int, part int, records long, first_id long, last_id long, bytes long, sha256 string"
 ENTRY = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, file string, offset long, intact boolean"
@@ -48,13 +56,23 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, revisit: bool, target: str | None) -> bytes:
+def _record_id(page_id: int | None, url: str | None, sha1: str, number: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{sha1}|{number}')}>"
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes, sha1: str, number: int, refers_to: tuple[int, str | None] | None) -> bytes:
+    """One record; number: of rows that are equal, which one; refers_to: page_id and url of the response, if this is a revisit."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = head if revisit else head + payload
-    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}|{sha1}|{revisit}")
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{ident}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha1:{digest(block)}"]
-    if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {'' if refers_to is None else refers_to}"]
+    block = head if refers_to else head + payload
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: {_record_id(page_id, url, sha1, number)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_target(page_id, url)}", f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: sha1:{digest(block)}"]
+    if refers_to:
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {_record_id(*refers_to, sha1, 0)}",
+            f"WARC-Refers-To-Target-URI: {_target(*refers_to)}",
+            f"WARC-Refers-To-Date: {DATE}",
+            f"WARC-Refers-To-Page: {refers_to[0]}",
+        ]
     lines += [f"WARC-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Length: {len(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -103,28 +121,27 @@ def _manifest_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _writer(root: str, roll: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (shard, page_id, kind); a shard is whole within its task.
+        """Rows come sorted by (shard, page_id, payload, kind, url); a shard, and equal rows, are whole within a task.
 
-        Rows of kind 0 precede a page and name the response of its payload; pages that none precedes are unlike all others.
+        A row of kind 0 precedes the rows of a page and payload and names the payload's response, by page_id and url; payloads
+        that none precedes are unlike all others.
         """
-        roller, at, keepers, seen = None, object(), {}, set()
+        roller, at, response, seen = None, object(), None, {}
         for b in batches:
             rows: list[tuple] = []
             for shard, page_id, kind, url, html, sha1, size, keeper in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
-                if page_id != at:
-                    at, keepers, seen = page_id, {}, set()
+                if (page_id, sha1, size) != at:
+                    at, response, seen = (page_id, sha1, size), None, {}
                 if not kind:
-                    keepers[sha1, size] = keeper
+                    response = (keeper, url)
                     continue
                 if roller is None or roller.shard != shard:
                     rows += roller.close() if roller else []
                     roller = _Roller(root, shard, roll)
-                payload = (html or "").encode()
-                keeper = keepers.get((sha1, size))
-                revisit = keeper is not None and (page_id != keeper or (sha1, size) in seen)
-                seen.add((sha1, size))
+                revisit = response is not None and (page_id != response[0] or bool(seen))
+                seen[url] = seen.get(url, -1) + 1
                 sha1_32 = base64.b32encode(bytes.fromhex(sha1)).decode()
-                rows += roller.add(page_id, _member(_record(page_id, url, payload, sha1_32, keeper if revisit else None, revisit, _target(page_id, url))))
+                rows += roller.add(page_id, _member(_record(page_id, url, (html or "").encode(), sha1_32, seen[url], response if revisit else None)))
             if rows:
                 yield _manifest_batch(rows)
         if roller and (rows := roller.close()):
@@ -133,59 +150,81 @@ def _writer(root: str, roll: int):
     return run
 
 
-def _bounds(pages: DataFrame, target: int) -> list[int]:
-    """Upper bounds (inclusive) of the ranges: page_ids at which about `target` bytes are full, from exact histograms.
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Running bytes within a sorted partition."""
+    full = 0
+    for b in batches:
+        if b.num_rows:
+            ends = np.cumsum(b.column(2).to_numpy(zero_copy_only=False)) + full
+            full = int(ends[-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends, pa.int64())], names=["k1", "k2", "full"])
+
 
-    A bin with more than two targets is cut into finer bins, until it is an id by itself. At most HISTOGRAM bins come to
-    the driver in each round.
+def _bounds(sums: DataFrame, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last keys of all ranges but the last: where `target` bytes are full in the order of all keys (k1, k2) of sums
+    (k1, k2, bytes). A key, that is, a page_id and payload, stays whole. The driver sees one sum of each written file, and at
+    most MAX_RANGES keys.
     """
-    lo, hi = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    if lo is None:
-        return []
-    bins: list[tuple[int, int, int]] = []
-    todo = [(lo, hi)]
-    for _ in range(12):
-        if not todo:
-            break
-        fine: list[tuple[int, int]] = []
-        for a, b in todo:
-            width = max(1, -(-(b - a + 1) // max(1, HISTOGRAM // len(todo))))
-            got = pages.where(F.col("page_id").between(a, b)).groupBy(F.floor((F.col("page_id") - a) / width).cast("long").alias("k")).agg(F.sum("bytes").alias("n"))
-            for k, n in got.collect():
-                x = (a + k * width, min(b, a + (k + 1) * width - 1), n)
-                if n > 2 * target and x[1] > x[0]:
-                    fine.append(x[:2])
-                else:
-                    bins.append(x)
-        todo = fine
-    out, full = [], 0
-    for _, b, n in sorted(bins):
-        full += n
-        if full >= target:
-            out.append(b)
-            full = 0
+    spark = sums.sparkSession
+    keys = sums.groupBy("k1", "k2").agg(F.sum("bytes").alias("bytes"))
+    ordered = materialize(keys.repartitionByRange("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(_running, "k1 long, k2 long, full long"), "warc-order")
+    places = ordered.select("k1", "k2", "full", F.col("_metadata.file_name").alias("file"))
+    files = sorted(((r.file, r.full) for r in places.groupBy("file").agg(F.max("full").alias("full")).collect()), key=lambda r: part_number(r[0]))
+    bases = np.concatenate([[0], np.cumsum([n for _, n in files])]).astype(np.int64)
+    target = max(target, -(-int(bases[-1]) // MAX_RANGES), 1)
+    base = spark.createDataFrame([(f, int(n)) for (f, _), n in zip(files, bases, strict=False)], "file string, base long")
+    ranges = places.join(F.broadcast(base), "file").groupBy(F.floor((F.col("base") + F.col("full") - 1) / target).alias("range")).agg(F.max(F.struct("k1", "k2")).alias("last"))
+    last = [(r.k1, r.k2) for r in ranges.orderBy("range").select("last.*").collect()][:-1]
+    drop_scratch(spark, ordered)
+    return np.array([k for k, _ in last], np.int64), np.array([k for _, k in last], np.int64)
+
+
+def range_of(k1: np.ndarray, k2: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Number of bounds below each key."""
+    lo, hi = (np.searchsorted(bounds[0], k1, side=s) for s in ("left", "right"))
+    out = lo.copy()
+    for at in np.unique(lo[hi > lo]):  # a page_id that is cut by its payloads
+        some = np.flatnonzero((lo == at) & (hi > lo))
+        out[some] += np.searchsorted(bounds[1][at : hi[some[0]]], k2[some], side="left")
     return out
 
 
+def _shard(spark: SparkSession, bounds: tuple[np.ndarray, np.ndarray]) -> Column:
+    if not len(bounds[0]):
+        return F.lit(0)
+    sent = spark.sparkContext.broadcast(bounds)  # MAX_RANGES keys at most
+
+    @F.pandas_udf("int")
+    def place(k1: pd.Series, k2: pd.Series) -> pd.Series:
+        return pd.Series(range_of(k1.to_numpy(), k2.to_numpy(), sent.value), dtype="int32")
+
+    return place("k1", "k2")
+
+
 def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, roll: int = ROLL_BYTES, target: int = RANGE_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) under root; returns the committed manifest."""
+    spark = pages.sparkSession
     filesystem(root)[0].create_dir(filesystem(root)[1], recursive=True)
     size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
-    src = pages.select(F.col("page_id").cast("long"), "url", "html")
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    src = src.withColumn("sha1", F.sha1(F.coalesce("html", F.lit("")))).withColumn("bytes", size)
+    # the order: by page_id, those without last, then by payload
+    src = src.withColumn("k1", F.coalesce("page_id", F.lit(LAST_ID))).withColumn("k2", F.xxhash64("sha1", F.col("page_id").isNull()))
     # the digests of all pages, without the pages
-    sums = materialize(src.select("page_id", size.alias("bytes"), F.sha1(F.coalesce("html", F.lit(""))).alias("sha1")), "warc-digests")
-    bounds = _bounds(sums, target)
+    sums = materialize(src.drop("html"), "warc-digests")
+    bounds = _bounds(sums.select("k1", "k2", (F.col("bytes") + RECORD_BYTES).alias("bytes")), target)
     # written down, so that the join is of two plain shuffles and a large group of copies can be split
-    same = materialize(sums.where(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(F.min("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1"), "warc-copies")
-    shard = F.lit(len(bounds))
-    if bounds:
-        shard = F.when(F.col("page_id").isNull(), len(bounds)).otherwise(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("page_id"))))
-    shard = shard.cast("int").alias("shard")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
+    same = sums.where(F.col("bytes") >= min_bytes).groupBy("sha1", "bytes").agg(first, F.count("*").alias("n")).where("n > 1 and first is not null")
+    same = materialize(same.select("sha1", "bytes", F.col("first.page_id").alias("keeper"), F.col("first.url").alias("keeper_url")), "warc-copies")
     # the payloads are shuffled once: what they need to know of their copies comes as rows that sort before them
-    copies = sums.join(same, ["sha1", "bytes"]).select(shard, "page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "sha1", "bytes", "keeper").distinct()
-    rows = src.select(shard, "page_id", F.lit(1).alias("kind"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha1"), size.alias("bytes"), F.lit(None).cast("long").alias("keeper"))
-    rows = copies.unionByName(rows).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", F.asc_nulls_last("page_id"), "kind", "url", "sha1")
-    return commit(rows.mapInArrow(_writer(root, roll), MANIFEST), root)
+    shard, none = _shard(spark, bounds).alias("shard"), F.lit(None).cast("string")
+    copies = sums.join(same, ["sha1", "bytes"]).select("k1", "k2", "page_id", F.lit(0).alias("kind"), F.col("keeper_url").alias("url"), none.alias("html"), "sha1", "bytes", "keeper").distinct()
+    rows = copies.unionByName(src.withColumn("kind", F.lit(1)).withColumn("keeper", F.lit(None).cast("long")))
+    rows = rows.select(shard, "page_id", "kind", "url", "html", "sha1", "bytes", "keeper", "k1", "k2").repartitionById(len(bounds[0]) + 1, "shard").sortWithinPartitions("shard", "k1", "k2", "sha1", "kind", "url")
+    manifest = commit(rows.mapInArrow(_writer(root, roll), MANIFEST), root)
+    drop_scratch(spark, sums, same)
+    return manifest
 
 
 def commit(listed: DataFrame, root: str) -> DataFrame:
@@ -260,10 +299,11 @@ def read_warc(spark: SparkSession, root: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write pages as WARC files in the shared folder and read them back."""
+    """Write pages as WARC files in the shared folder and read them back; the files are dropped when all is read."""
     spark = pages.sparkSession
     root = scratch_path(spark, "warc")
     write_warc(pages, root, min_bytes)
     back = read_warc(spark, root)
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "file", "offset", "intact")
-
+    out = materialize(back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "file", "offset", "intact"), "warc-read")
+    drop_path(spark, root)
+    return out
