@@ -2,12 +2,15 @@
 
 A linear-chain conditional random field over the lines of a document marks each as content or boilerplate; Viterbi
 decoding gives the best sequence, and the share of words in content lines decides whether the document stays. The field is
-trained here, on a bounded sample of documents (SAMPLE_DOCS with the smallest id hashes) whose lines get noisy labels from
-surface cues; training maximises the conditional likelihood by gradient ascent. Everything else reads every whole text.
-
-Defined results: a null text has no words and no lines and fails the base rules; an empty text likewise; a document
-without lines that hold words has content share 0; repeated rows are scored alike; an empty table gives an empty result and
-needs no model; other columns are not read.
+trained here, by gradient ascent on the conditional likelihood, on a bounded sample of documents (the SAMPLE_DOCS with the
+smallest id hashes, of texts up to SAMPLE_BYTES). Its labels say nothing of the features: the lines of a document that people
+labelled as good are content, those of one labelled as bad are boilerplate. Without labelled documents, the base rules' verdict
+on whole documents labels their lines. Everything else reads every whole text.
+
+Defined results: a null or empty text has no words and fails the base rules; very long texts are judged whole; a document
+without lines that hold words has content share 0; repeated rows are scored alike, and learned from once; labels that
+contradict each other count as the better one; of equally probable sequences the one with boilerplate is taken; an empty table
+gives an empty result; columns other than doc_id and text are not read, and kept_documents returns them whatever their names.
 """
 
 from __future__ import annotations
@@ -16,17 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipika.llm.common import SAMPLE_ROOM, U64, bounded_batches, hash_place, mix64, rows_of, text_chunks, word_bounds, word_hashes
+from lipika.llm.common import SAMPLE_ROOM, U64, bounded_batches, drop_scratch, hash_place, materialize, mix64, rows_of, text_chunks, word_bounds, word_hashes
 
-SAMPLE_DOCS = 1500
+#: Bounds of the training sample.
+SAMPLE_DOCS, SAMPLE_BYTES = 1500, 32_768
 #: Share of words in content lines from which a document stays.
 MIN_CONTENT = 0.5
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 0.5
 SYMBOLS = b"#*$%&|<>"
-#: Phrases of page furniture and legal lines, in lower case.
+#: Phrases of page furniture and legal lines that one feature looks for, in lower case.
 FURNITURE = [b"all rights reserved", b"licensed under", b"license", b"copyright", b"cookie", b"privacy policy", b"terms of use", b"subscribe", b"sign in", b"log in", b"click here", b"read more", b"share this", b"javascript"]
 STEPS, RATE, L2 = 150, 0.2, 1e-3
 
@@ -132,13 +136,6 @@ def line_features(data: np.ndarray, lines: Lines, words: np.ndarray) -> tuple[np
     return x, dup
 
 
-def cue_labels(x: np.ndarray) -> np.ndarray:
-    """Noisy training labels: 1 content, 0 boilerplate."""
-    f = {k: x[:, i] for i, k in enumerate(FEATURES)}
-    bad = f["no_words"] | f["symbols_many"] | f["shouts"] | f["upper"] | f["few_letters"] | f["repeats_many"] | f["pipes"] | f["furniture"] | (f["seen_before"] & ~f["words_21"])
-    return (~bad).astype(np.int64)
-
-
 # --- the field --------------------------------------------------------------------------------
 
 
@@ -240,6 +237,11 @@ def _by_row(lines: Lines, value: np.ndarray) -> np.ndarray:
     return np.bincount(lines.row, weights=value, minlength=lines.n_rows).astype(np.int64)
 
 
+def _fails(n: np.ndarray, repeat: np.ndarray) -> np.ndarray:
+    """The base rules, from words and repeated words."""
+    return (n < MIN_WORDS) | (100 * repeat > 100 * MAX_REPEAT_SHARE * n)
+
+
 def _judge(ids: pa.Array, i: int, j: int, data: np.ndarray, off: np.ndarray, model) -> list:
     """The columns of SCHEMA for rows i to j of a batch."""
     words, prefix = word_hashes(data, off, "space")
@@ -251,7 +253,7 @@ def _judge(ids: pa.Array, i: int, j: int, data: np.ndarray, off: np.ndarray, mod
     chars = np.append(0, np.cumsum(total[lines.words_end] - total[lines.words_start]))
     repeat = _repeat_words(words, prefix)
     share = _by_row(lines, lines.words * y) / np.maximum(n, 1)
-    failed = (n < MIN_WORDS) | (100 * repeat > 100 * MAX_REPEAT_SHARE * n)
+    failed = _fails(n, repeat)
     has = lines.words > 0
     return [ids[i:j], n, chars[prefix[1:]] - chars[prefix[:-1]], _by_row(lines, lines.symbols), _by_row(lines, dup), repeat, failed, ~failed & (share >= MIN_CONTENT), share, _by_row(lines, has), _by_row(lines, has & (y == 1))]
 
@@ -267,41 +269,76 @@ def _score(model):
     return run
 
 
-def _keep(model):
+def _keep(model, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [_judge(batch.column(0), i, j, data, off, model)[7] for i, j, data, off in text_chunks(batch, limit=1_000_000)]
+            kept = [_judge(batch.column(text), i, j, data, off, model)[7] for i, j, data, off in text_chunks(batch, limit=1_000_000)]
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
     return run
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """Train the field on the lines of at most `sample` documents, those with the smallest id hashes."""
-    bounded_batches(docs.sparkSession)
-    n = docs.count()
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents' lines as bits of their features, and whether the base rules fail the document."""
+    for batch in batches:
+        bits, failed = [], []
+        for i, j, data, off in text_chunks(batch, limit=1_000_000):
+            words, prefix = word_hashes(data, off, "space")
+            lines = Lines(data, off)
+            x, _ = line_features(data, lines, words)
+            packed = (x.astype(np.uint32) << np.arange(x.shape[1], dtype=np.uint32)).sum(axis=1).astype(np.uint32)
+            cut = np.searchsorted(lines.row, np.arange(j - i + 1))
+            bits += [packed[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            failed += _fails(np.diff(prefix), _repeat_words(words, prefix)).tolist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), pa.array(failed, pa.bool_())], names=["good", "bits", "failed"])
+
+
+def _sample(docs: DataFrame, of: DataFrame) -> list:
+    """Examples of at most SAMPLE_DOCS documents of those that `of` (doc_id, good) names."""
+    n = of.count()
     place = hash_place("doc_id")
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (place < SAMPLE_ROOM * sample / max(n, 1))).orderBy(place, "doc_id").limit(sample).distinct()
-    texts = [r.text for r in docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").where("text is not null").limit(sample).select("text").toLocalIterator()]
-    texts.sort()
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    off = np.append(0, np.cumsum([len(t) for t in raw])).astype(np.int64)
-    if not len(data):
+    ids = of.where(place < SAMPLE_ROOM * SAMPLE_DOCS / max(n, 1)).orderBy(place, "doc_id").limit(SAMPLE_DOCS)
+    ids = materialize(ids, "quality-sample")
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64("text")).join(F.broadcast(ids), "doc_id")
+    # a doc_id that repeats brings one text
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct("h", "text", "good")).alias("row")).select("row.good", "row.text")
+    rows = texts.mapInArrow(_examples, "good boolean, bits binary, failed boolean").collect()
+    drop_scratch(docs.sparkSession, ids)
+    return sorted(rows, key=lambda r: (r.bits, r.good is None, r.good, r.failed))
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Train the field on documents that labels (doc_id, quality 0 or 1) cover; without any, on the base rules' verdicts."""
+    bounded_batches(docs.sparkSession)
+    rows = []
+    if labels is not None:
+        good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") > 0).alias("good"))
+        rows = _sample(docs, good)
+    if not rows:
+        rows = _sample(docs, docs.select("doc_id").where("doc_id is not null").distinct().withColumn("good", F.lit(None).cast("boolean")))
+    n = np.array([len(r.bits) // 4 for r in rows], np.int64)
+    if not n.sum():
         return np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
-    words, _ = word_hashes(data, off, "space")
-    lines = Lines(data, off)
-    x, _ = line_features(data, lines, words)
-    return train(x, cue_labels(x), np.searchsorted(lines.row, np.arange(lines.n_rows + 1)))
+    bits = np.frombuffer(b"".join(bytes(r.bits) for r in rows), np.uint32)
+    x = (bits[:, None] >> np.arange(len(FEATURES), dtype=np.uint32) & 1).astype(bool)
+    y = np.repeat([int(not r.failed if r.good is None else r.good) for r in rows], n)
+    return train(x, y, np.append(0, np.cumsum(n)))
+
+
+def labels_beside(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The labels table of a table folder, if it has one."""
+    path = f"{sf_dir}/labels.parquet"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there) else None
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Counts, base rules and the field's verdict of every row of docs (doc_id, text)."""
-    src = docs.select(F.col("doc_id").cast("long"), "text")
-    return src.mapInArrow(_score(fit(docs)), SCHEMA)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return src.mapInArrow(_score(fit(docs, labels)), SCHEMA)
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """The rows of docs that stay, all columns unchanged; decided row by row, without a shuffle."""
-    return docs.mapInArrow(_keep(fit(docs)), docs.schema)
+    return docs.mapInArrow(_keep(fit(docs, labels), docs.columns.index("text")), docs.schema)

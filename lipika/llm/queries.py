@@ -20,7 +20,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lipika.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("text_h")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +48,9 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lipika.llm.quality import quality
+    from lipika.llm.quality import labels_beside, quality
 
-    return quality(table(spark, sf_dir, "documents"))
+    return quality(table(spark, sf_dir, "documents"), labels_beside(spark, sf_dir))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
