@@ -9,14 +9,17 @@ threshold. Texts with a repeated shingle have a second signature and bands of it
 find what is alike by plain Jaccard alone. Without repeats both signatures are the same. Classes are the connected
 components of the links.
 
-Skew: exact copies (equal word sequences) are folded into their smallest doc_id before anything else. In a bucket, each
-member is paired with the bucket's leader, not with all others; bands have different leaders. In buckets that still hold
-several classes, members are then paired with the likeliest few of other classes, by signature; in those that are open
-even then, block by block, with all that the signature leaves possible, and only what may be a link leaves the block.
+Skew: exact copies (equal word sequences) are folded into one row, that of the smallest doc_id, before anything else. In a
+bucket, each member is paired with the bucket's leader, not with all others; bands have different leaders. In buckets that
+still hold several classes, the members of all classes but the largest are compared block by block with those of other
+classes: first with the likeliest few, by signature, then with all that the signatures leave possible. The largest class of
+a bucket is dealt out once, however large it is, and only what may be a link leaves a block.
 
 Defined results: a null text is a class of its own; a text without words equals only identical texts; a text of fewer
-than five words has one shingle; repeated rows get the same class; class_id is the smallest doc_id of the class; empty
-input gives an empty result; other columns are not read.
+than five words has one shingle; very long texts are read whole; repeated rows get the same class; rows that repeat a doc_id
+with another text are rows of their own; class_id and copy_of are smallest doc_ids, null where no member has one; of equal
+doc_ids the text with the smaller hash stands for the class; empty input gives an empty result; columns other than doc_id
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lipika.llm.common import U64, drop_scratch, materialize, mix64, rows_of, shingles, text_chunks, word_hashes
+from lipika.llm.common import U64, drop_scratch, fresh, materialize, mix64, rows_of, shingles, text_chunks, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 24, 5
@@ -99,7 +102,7 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     m = BANDS * BAND_ROWS
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, hashes, texts = (batch.column(c) for c in range(3))
         for i, j, data, off in text_chunks(batch, limit=1_000_000):
             row, item, weight, words, prefix = weighted_shingles(data, off)
             f0, f1 = fingerprints(words, prefix)
@@ -135,13 +138,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     ids[i:j],
+                    hashes[i:j],
                     pa.array(f0, mask=null),
                     pa.array(f1, mask=null),
                     pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), buckets),
                     pa.array(regs, pa.binary()),
                     pa.array(plain_regs, pa.binary()),
                 ],
-                names=["doc_id", "f0", "f1", "bands", "signature", "plain"],
+                names=["doc_id", "h", "f0", "f1", "bands", "signature", "plain"],
             )
 
 
@@ -199,8 +203,9 @@ def _verify(threshold: float):
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Shingles and weights of the documents named in ids (id)."""
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids.hint("shuffle_hash"), "id", "left_semi")
+    """Shingles and weights of the rows of docs (doc_id, h, text) that ids (id, copy_of, h) name."""
+    named = ids.select("id", "copy_of", F.col("h").alias("of_h")).hint("shuffle_hash")
+    texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("copy_of")) & (F.col("h") == F.col("of_h"))).select("id", "text")
     return materialize(texts.mapInArrow(_shingle_sets, "id long, items binary, weights binary").dropDuplicates(["id"]), "shingles")
 
 
@@ -231,17 +236,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, copy_of (smallest doc_id with the same words) of every row of docs (doc_id, text)."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(src.mapInArrow(_sign, "doc_id long, f0 long, f1 long, bands array<long>, signature binary, plain binary"), "signatures")
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (id, label) with more links (a, b). Only classes that a link joins are walked through again."""
+    far = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    ends = links.select("a", "b").join(far("a"), "a", "left").join(far("b"), "b", "left")
+    ends = materialize(ends.select("a", "b", F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y")), "link-ends")
+    moved = components(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    every = labels.unionByName(ends.select(F.col("a").alias("id"), F.col("x").alias("label"))).unionByName(ends.select(F.col("b").alias("id"), F.col("y").alias("label"))).distinct()
+    out = materialize(every.join(moved.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+    drop_scratch(labels.sparkSession, ends, moved, labels)
+    return out
+
+
+SIGNED = "doc_id long, h long, f0 long, f1 long, bands array<long>, signature binary, plain binary"
+
+
+def classify(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """A table with doc_id, h (hash of the text), class_id, copy_of and class_h (hash of the class's first text) of every row."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    # rows are told apart by numbers of their own, as doc_ids may repeat or be missing
+    signed = materialize(src.mapInArrow(_sign, SIGNED).withColumn("row", F.monotonically_increasing_id()), "signatures")
     # written down, so that the join is of two plain shuffles and a large group of copies can be split
-    kept = materialize(signed.where("f0 is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("copy_of")), "copies")
-    member = materialize(signed.select("doc_id", "f0", "f1").join(kept, ["f0", "f1"], "left").select("doc_id", F.coalesce("copy_of", "doc_id").alias("copy_of")), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "row")).alias("first")
+    kept = materialize(signed.where("f0 is not null").groupBy("f0", "f1").agg(first).select("f0", "f1", F.col("first.doc_id").alias("copy_of"), F.col("first.h").alias("first_h"), F.col("first.row").alias("id")), "copies")
+    member = materialize(signed.select("doc_id", "h", "f0", "f1").join(kept, ["f0", "f1"], "left").select("doc_id", "h", "id", "copy_of", "first_h"), "members")
     # representatives only, and of these only buckets with two or more
-    reps = member.where("doc_id = copy_of").select("doc_id").distinct()
-    sig = signed.where("f0 is not null and size(bands) > 0").join(reps, "doc_id", "left_semi")
-    rows = sig.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket")).where("bucket is not null")
+    sig = signed.where("f0 is not null and size(bands) > 0").join(kept.select(F.col("id").alias("row")), "row", "left_semi")
+    rows = sig.select(F.col("row").alias("id"), F.posexplode("bands").alias("band", "bucket")).where("bucket is not null")
     # both signatures of a text share their buckets with either of another; the second one's count only in buckets that stay open
     rows = rows.withColumn("second", F.col("band") >= BANDS).withColumn("band", F.col("band") % BANDS)
     mask = F.element_at(F.array(*[F.lit(x) for x in LEADERS]), (F.col("band") % len(LEADERS)) + 1)
@@ -249,12 +270,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     leaders = rows.groupBy("bucket", "mask").agg(F.min(F.expr("if(second, null, id ^ mask)")).alias("m"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
     shared = materialize(rows.join(leaders.select("bucket", (F.expr("m ^ mask")).alias("leader")), "bucket").select("bucket", "band", "id", "second", "leader"), "buckets")
     pairs = materialize(shared.where("not second and id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), "pairs")
-    sets = shingle_sets(src, shared.select("id").distinct())
+    ids = materialize(shared.select("id").distinct(), "bucket-ids")
+    sets = shingle_sets(src, kept.select("id", "copy_of", F.col("first_h").alias("h")).join(ids, "id", "left_semi"))
     links = materialize(verified(sets, pairs, threshold), "links")
     labels = components(links)
     # buckets that still hold several classes: members are compared with those of other classes, the likeliest first
-    spent = [signed, kept, rows, shared, pairs, sets, links]
-    signatures = signed.select(F.col("doc_id").alias("id"), "signature", "plain").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    spent = [signed, rows, shared, pairs, ids, sets, links]
+    signatures = signed.select(F.col("row").alias("id"), "signature", "plain").join(ids, "id", "left_semi")
     for exact in (False, True):
         placed = materialize(open_members(shared, labels), "open-buckets")
         spent.append(placed)
@@ -267,20 +289,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         found = materialize(verified(sets, more, threshold), "more-links")
         spent += [more, found]
         if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links)
-    drop_scratch(docs.sparkSession, *spent)
-    out = member.join(labels.withColumnRenamed("id", "copy_of"), "copy_of", "left")
-    return out.select("doc_id", F.coalesce("label", "copy_of").alias("class_id"), "copy_of")
+            labels = merged(labels, found)
+    heads = labels.join(kept.select("id", "copy_of", "first_h"), "id").groupBy("label").agg(F.min(F.struct(F.col("copy_of").isNull().alias("none"), "copy_of", "first_h")).alias("head"))
+    of = materialize(labels.join(heads, "label").select("id", F.col("head.copy_of").alias("class_id"), F.col("head.first_h").alias("class_h")), "class-heads")
+    out = member.join(of, "id", "left").select("doc_id", "h", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.coalesce("class_id", "copy_of")).alias("class_id"), F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), F.coalesce("class_h", "first_h", "h").alias("class_h"))
+    out = materialize(out, "classes")
+    drop_scratch(docs.sparkSession, *spent, kept, member, labels, of)
+    return out
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, copy_of (smallest doc_id with the same words) of every row of docs (doc_id, text)."""
+    return classify(docs, threshold).select("doc_id", "class_id", "copy_of")
 
 
 def open_members(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, band, id, label and the label's members in the bucket (mates), of buckets with two labels or more."""
+    """bucket, band, id, label, the label's members in the bucket (mates) and whether it is the bucket's largest one, of
+    buckets with two labels or more."""
     placed = shared.join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label")).distinct()
     counts = placed.groupBy("bucket", "label").agg(F.count("*").alias("mates"))
-    several = counts.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    several = counts.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("mates", "label")).alias("top")).where("lo <> hi")
+    several = several.select("bucket", F.col("top.label").alias("top"))
     # written down, so that a large class of a bucket can be split
-    return placed.join(materialize(counts.join(several, "bucket"), "open-classes"), ["bucket", "label"])
+    classes = materialize(counts.join(several, "bucket").select("bucket", "label", "mates", (F.col("label") == F.col("top")).alias("largest")), "open-classes")
+    return placed.join(classes, ["bucket", "label"])
 
 
 def _small_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,23 +338,37 @@ SMALL_SLACK = 0.01
 def cross_pairs(placed: DataFrame, threshold: float, exact: bool) -> DataFrame:
     """Pairs of different labels within a bucket that may be links.
 
-    placed: bucket, band, id, label, mates, signature, plain[, small, heavy]. A bucket is dealt into blocks of about OPEN_BLOCK
-    members; every two blocks are compared in one task, and only the pairs found leave it. Members of the smaller class
-    look for partners in the larger one: first by signature, each for its LIKELIEST; when `exact`, all whose signatures, of
-    either kind, agree about as often as threshold pairs do are compared shingle by shingle, a pair only in the first band
-    it shares.
+    placed: bucket, band, id, label, mates, largest, signature, plain[, small, heavy]. The largest class of a bucket, and the
+    rest, are dealt into blocks of about OPEN_BLOCK members. A task compares one block of the rest with one block of the
+    largest class, or two blocks of the rest, and only the pairs found leave it. Members of the smaller class look for
+    partners in the larger one: first by signature, each for its LIKELIEST; when `exact`, all whose signatures, of either
+    kind, agree about as often as threshold pairs do are compared shingle by shingle, a pair only in the first band it shares.
     """
-    members = F.count("*") / OPEN_BLOCK
-    sizes = placed.groupBy("bucket").agg(F.ceil(F.greatest(members, F.sum(F.octet_length("small")) / OPEN_BYTES) if exact else members).cast("int").alias("blocks"))
-    dealt = placed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).drop("blocks").withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
+
+    def blocks(which: Column) -> Column:
+        need = F.count_if(which) / OPEN_BLOCK
+        if exact:
+            need = F.greatest(need, F.coalesce(F.sum(F.when(which, F.octet_length("small"))), F.lit(0)) / OPEN_BYTES)
+        return F.ceil(need).cast("int")
+
+    sizes = placed.groupBy("bucket").agg(blocks(F.col("largest")).alias("n_largest"), blocks(~F.col("largest")).alias("n_rest"))
+    own = F.when(F.col("largest"), F.col("n_largest")).otherwise(F.col("n_rest"))
+    dealt = placed.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), own).cast("int"))
+    at = F.col("block")
+
+    def meet(n: str, largest: bool, x, y) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda o: F.struct(F.lit(largest).alias("across"), x(o).alias("x"), y(o).alias("y")))
+
+    rest = F.concat(meet("n_rest", False, lambda o: F.least(at, o), lambda o: F.greatest(at, o)), meet("n_largest", True, lambda o: at, lambda o: o))
+    task = F.when(F.col("largest"), meet("n_rest", True, lambda o: o, lambda o: at)).otherwise(rest)
+    dealt = dealt.withColumn("task", F.explode(task)).select("*", "task.*").drop("task", "n_rest", "n_largest")
     m = BANDS * BAND_ROWS
     least = threshold * m - SIGNATURE_SLACK * (threshold * (1 - threshold) * m) ** 0.5
 
     def compare(t: pa.Table) -> pa.Table:
         ids, labels, mates, block = (t.column(c).to_numpy() for c in ("id", "label", "mates", "block"))
-        x, y, band = (t.column(c)[0].as_py() for c in ("x", "y", "band"))
+        across, x, y, band = (t.column(c)[0].as_py() for c in ("across", "x", "y", "band"))
+        largest = t.column("largest").to_numpy(zero_copy_only=False)
         sig = np.stack([np.frombuffer(s.as_buffer(), np.uint32) for s in t.column("signature")])
         # a text without repeated shingles has one signature for both
         own = [s.as_buffer() for s in t.column("plain")]
@@ -332,8 +378,8 @@ def cross_pairs(placed: DataFrame, threshold: float, exact: bool) -> DataFrame:
             plain[i] = np.frombuffer(own[i], np.uint32)
         sets = _Sets(t) if exact else None
         a, b = [], []
-        blocks = [np.flatnonzero(block == x), np.flatnonzero(block == y)]
-        for left, right in [blocks] if x == y else [blocks, blocks[::-1]]:
+        blocks = [np.flatnonzero(~largest), np.flatnonzero(largest)] if across else [np.flatnonzero(block == x), np.flatnonzero(block == y)]
+        for left, right in [blocks] if across or x == y else [blocks, blocks[::-1]]:
             for i in left:
                 k = right[(labels[right] != labels[i]) & ((mates[right] > mates[i]) | ((mates[right] == mates[i]) & (labels[right] > labels[i])))]
                 agree = (sig[k] == sig[i]).sum(axis=1)
@@ -352,7 +398,7 @@ def cross_pairs(placed: DataFrame, threshold: float, exact: bool) -> DataFrame:
                 b += np.maximum(ids[k], ids[i]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "across", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 class _Sets:
@@ -390,15 +436,22 @@ class _Sets:
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that stay: of each class, the document of smallest doc_id; columns unchanged.
+    """The rows of docs that stay: one of each class, that of the smallest doc_id; columns unchanged.
 
-    Rows without a doc_id can't be told apart, so they stay.
+    Rows are told apart by doc_id and text: of a class whose members all lack a doc_id, one row stays too. Of rows with null
+    text, those that repeat a doc_id count as one; those without doc_id all stay.
     """
-    classes = materialize(near_duplicates(docs, threshold), "classes")
+    classes = classify(docs, threshold)
+    doc, h, there, alone = fresh(docs.columns, "gone_id", "gone_h", "text_h", "alone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(there) == F.col(h))
+    marked = docs.withColumn(there, F.xxhash64("text"))
     # the few that go are joined, not the many that stay; by shuffle at any size, as their number has no bound
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    if classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    gone = classes.where("not (doc_id <=> class_id) or h <> class_h").select(F.col("doc_id").alias(doc), F.col("h").alias(h)).distinct()
+    kept = marked.join(gone.hint("shuffle_hash"), same, "left_anti")
+    heads = classes.where("doc_id <=> class_id and h = class_h")
+    twice = materialize(heads.groupBy(F.col("doc_id").alias(doc), F.col("h").alias(h)).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-rows")
+    if twice.limit(1).count():
         # repeated rows: one of them stays
-        kept = kept.withColumn("_id", F.coalesce("doc_id", F.monotonically_increasing_id() - F.lit(2**62))).dropDuplicates(["_id"])
-    return kept.select(docs.columns)
+        again = kept.join(twice.hint("shuffle_hash"), same, "left_semi").withColumn(alone, F.when(F.col("doc_id").isNull() & F.col("text").isNull(), F.monotonically_increasing_id()))
+        kept = kept.join(twice.hint("shuffle_hash"), same, "left_anti").unionByName(again.dropDuplicates(["doc_id", there, alone]).drop(alone))
+    return kept.drop(there)
