@@ -1,6 +1,7 @@
 """The operators against brute force, round trips and held-out accuracy, on small tables with the awkward cases in them."""
 
 import base64
+import bisect
 import hashlib
 import itertools
 import math
@@ -32,7 +33,7 @@ def corpus() -> list[tuple]:
     rng = random.Random(3)
     base = [prose(rng, rng.randint(60, 200)) for _ in range(40)]
     texts = base + base[:5] + [b.replace(" ", " the ", 1) for b in base[5:10]] + [None, "", "   ", "!!!", "???", "!!!", "one two", "One, TWO", LONG, LONG + " end"]
-    texts += [f"{base[11]}\nThis file is under the GNU General Public License version 3.\n{base[12]}", "CC-BY 4.0 and mit license, apache licence"]
+    texts += [f"{base[11]}\nThis file is under the GNU General Public License version 3.\n{base[12]}", "CC-BY 4.0 and mit license, apache licence", "ab\u00e9" * 800 + " end"]
     rows = [(i, t, ["en", "de", None][i % 3], ["a", "b", "c", None][i % 4], len(t or "")) for i, t in enumerate(texts)]
     return rows + [rows[3], rows[40]]  # repeated rows
 
@@ -47,7 +48,7 @@ def odd(docs):
     """The same with extra columns whose names the operators use inside."""
     from pyspark.sql import functions as F
 
-    return docs.withColumns({c: F.lit("x") for c in ("size", "shard", "row", "key", "items", "label", "rank", "bucket", "file", "page")})
+    return docs.withColumns({c: F.concat(F.lit("keep"), F.col("doc_id")) for c in ("_words", "_id", "_source", "_size", "_copies", "_n", "_no", "_times", "_each", "_bad", "_gone", "_key", "gone_id", "gone_h", "text_h", "TEXT_H", "alone", "bad_id", "bad_h", "mix_id", "mix_h", "mix_n", "mix_no", "mix_each", "copies", "taken", "place", "block", "word", "c", "id", "h", "f0", "class_id", "held", "held_out", "letter", "count", "n", "target", "no", "tokenizer", "tokens", "documents", "kept", "text_crc32") if c != "TEXT_H"}).withColumns({c: F.lit("x") for c in ("size", "shard", "row", "key", "items", "label", "rank", "bucket", "file", "page")})
 
 
 def empty(spark):
@@ -94,6 +95,38 @@ def test_warc_round_trip(spark, min_bytes):
         assert r.payload_bytes == len(h.encode()) and (not first or r.payload.decode() == h)
 
 
+def test_warc_revisits_name_their_response(spark):
+    rows = [(1, "u1", "x" * 50), (1, "u1", "x" * 50), (1, "u0", "x" * 50), (2, None, "x" * 50), (None, "n", "x" * 50), (None, "n", "x" * 50), (3, "u3", "y"), (2**63 - 1, "m", "x" * 50)]
+    root = scratch_path(spark, "warc-ids")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), root, target=1)
+    files, base = warc.filesystem(root)
+    heads = []
+    for m in spark.read.parquet(f"{root}/_manifest").collect():
+        for _, h, _ in warc.parse(files.open_input_stream(f"{base}/{m.file}", compression=None)):
+            heads.append(h)
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(rows)
+    response = {h["WARC-Record-ID"]: h for h in heads if h["WARC-Type"] == "response"}
+    assert sorted(h["WARC-Target-URI"] for h in response.values()) == ["u0", "u3"]
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            to = response[h["WARC-Refers-To"]]
+            assert (h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"], h["WARC-Payload-Digest"]) == (to["WARC-Target-URI"], to["WARC-Date"], to["WARC-Payload-Digest"])
+
+
+def test_warc_ranges(spark):
+    """Far more ranges than one look at the keys could give, hot ids and ids without number among them."""
+    df = spark.range(30_000).selectExpr("if(id % 3 = 0, 7, id) as k1", "xxhash64(id) as k2", "100L as bytes")
+    bounds = warc._bounds(df, 1000)
+    assert len(bounds[0]) == 2999 and (bounds[0] == 7).sum() > 900
+    rows = df.collect()
+    k1, k2 = np.array([r.k1 for r in rows]), np.array([r.k2 for r in rows])
+    got = warc.range_of(k1, k2, bounds)
+    keys = list(zip(*(b.tolist() for b in bounds), strict=True))
+    assert got.tolist() == [bisect.bisect_left(keys, (a, b)) for a, b in zip(k1.tolist(), k2.tolist(), strict=True)]
+    assert np.bincount(got).tolist() == [10] * 3000
+    assert [len(b) for b in warc._bounds(df.limit(0), 1000)] == [0, 0]
+
+
 def test_warc_files_are_the_same_again_and_gzip_reads_them(spark):
     import gzip
 
@@ -112,15 +145,32 @@ def test_warc_files_are_the_same_again_and_gzip_reads_them(spark):
 # --- mixing -----------------------------------------------------------------------------------
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100]) == [50, 100, 150]
-    assert mixing.targets([1000, 10, 10]) == [1020 - 60, 30, 30]
-    assert mixing.targets([0, 50]) == [0, 50] and mixing.targets([]) == []
+def exact_targets(sizes):
+    """Shares by weight 1, 2, 3; what is over three times a source's size is shared again."""
+    out, left, n = [None] * len(sizes), Fraction(sum(sizes)), len(sizes)
+    while open_ := [i for i in range(n) if out[i] is None]:
+        unit = left / sum(1 + i % 3 for i in open_)
+        over = [i for i in open_ if unit * (1 + i % 3) > 3 * sizes[i]]
+        for i in over or open_:
+            out[i] = Fraction(3 * sizes[i]) if over else unit * (1 + i % 3)
+        left -= sum(out[i] for i in over)
+        if not over:
+            break
+    return out
+
+
+def test_targets(spark):
+    assert exact_targets([1000, 10, 10]) == [1020 - 60, 30, 30]
     rng = random.Random(5)
-    for _ in range(50):
-        sizes = [rng.randint(0, 1000) for _ in range(rng.randint(1, 9))]
-        t = mixing.targets(sizes)
-        assert sum(t) == sum(sizes) and all(0 <= x <= 3 * s for x, s in zip(t, sizes, strict=True))
+    cases = [[100, 100, 100], [1000, 10, 10], [0, 50], [0, 0], [7], [10**15, 10**14 + 1, 3], [rng.randint(0, 1000) for _ in range(40)], [10 ** rng.randint(0, 6) for _ in range(25)]]
+    for sizes in cases:
+        names = sorted([f"s{i}" for i in range(len(sizes) - 1)], key=str.encode) + [None]
+        units = spark.createDataFrame([(s, z, 1) for s, z in zip(names, sizes, strict=True)], "source string, size long, n long")
+        got = {r.source: r for r in mixing.source_plan(units).collect()}
+        for k, (name, size, want) in enumerate(zip(names, sizes, exact_targets(sizes), strict=True)):
+            r = got[name]
+            assert (r.source_no, r.source_size) == (k, size) and r.target == pytest.approx(float(want), rel=1e-15)
+            assert r.whole + r.part == pytest.approx(float(want / size) if size else 0) and 0 <= r.part < 1 and r.whole <= 3
 
 
 def test_flight_balances():
@@ -142,14 +192,14 @@ def test_mix(spark, docs, odd):
     for _, t, _, s, _ in data:
         total[s] += words(t)
     order = sorted(total, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, mixing.targets([total[s] for s in order]), strict=True))
+    want = dict(zip(order, exact_targets([total[s] for s in order]), strict=True))
     assert Counter((r.doc_id, r["size"]) for r in rows) == Counter((i, words(t)) for i, t, *_ in data)
     assert all(r.taken <= 3 * r["size"] and r.source_size == total[r.source] and abs(r.target - float(want[r.source])) < 1e-6 for r in rows)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd.repartition(5)).collect()))
     mixed = mixing.mixed_documents(odd)
-    assert mixed.columns == odd.columns and mixed.count() == sum(r.copies for r in rows)
+    got = mixed.collect()
+    assert mixed.columns == odd.columns and len(got) == sum(r.copies for r in rows) and all(r._words == r.mix_n == f"keep{r.doc_id}" for r in got)
     assert mixing.mix(empty(spark)).count() == 0
-    assert isinstance(want["a"], Fraction)
 
 
 def test_mix_meets_targets(spark):
@@ -189,7 +239,10 @@ def brute_contamination(docs, items, window=10):
 def test_contamination(spark, docs, odd, monkeypatch, blocks):
     data = corpus()
     items = [(1, data[0][1]), (2, " ".join(data[1][1].split()[5:17]).upper()), (3, "one two"), (10, "ONE-two"), (4, None), (5, ""), (6, "no such phrase here"), (None, data[2][1]), (1, data[3][1]), (7, LONG)]
-    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 50_000 if blocks == 1 else 3)
+    if blocks > 1:
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", 90_000)
+        monkeypatch.setattr(decontamination, "PIECE_WORDS", 700)
+        monkeypatch.setattr(decontamination, "FOLLOW", 100)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_contamination(data, items)
     for d in (docs, odd):
@@ -237,8 +290,10 @@ def brute_classes(rows, threshold=0.8):
 
     for a, b in itertools.combinations(sets, 2):
         common = len(sets[a].keys() & sets[b].keys())
-        if common and common / len(sets[a].keys() | sets[b].keys()) >= 0.3:
-            s = max(common / len(sets[a].keys() | sets[b].keys()), neardup.probability_jaccard(*arrays[a], *arrays[b]))
+        if common:
+            s = common / len(sets[a].keys() | sets[b].keys())
+            if max(*sets[a].values(), *sets[b].values()) > 1:  # else the two measures are equal
+                s = max(s, neardup.probability_jaccard(*arrays[a], *arrays[b]))
             if s >= threshold:
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
@@ -284,11 +339,24 @@ def test_null_and_very_large_ids(spark):
     ids = Counter(r[0] for r in rows)
     for out in (mixing.mix(df), neardup.near_duplicates(df), decontamination.contamination(df, bench), langid.identify(df), licenses.scan(df), quality.quality(df), sharding.shard_documents(df), lmscore.score_documents(df)):
         assert Counter(r.doc_id for r in out.collect()) == ids
-    assert Counter(r.doc_id for r in neardup.representatives(df).collect()) == ids
-    assert {r.doc_id for r in decontamination.clean_documents(df, bench).collect()} == {big + 2, 5}
+    kept = [(r.doc_id, r.text) for r in neardup.representatives(df).collect()]
+    assert Counter(kept) == Counter((r[0], r[1]) for r in rows if (r[0], r[1]) != (None, a))
+    # row by row: only texts that are hit go
+    clean = decontamination.clean_documents(df, bench)
+    assert clean.columns == df.columns and Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((r[0], r[1]) for r in rows if r[1] != a)
     assert set(r.doc_id for r in mixing.mixed_documents(df).collect()) <= set(ids)
 
 
+def test_one_doc_id_with_several_texts(spark):
+    rng = random.Random(15)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (2, a, "en", "s", 0), (3, b, "en", "s", 0), (3, b, "en", "s", 0), (1, b, "en", "s", 0), (4, c, "en", "s", 0), (None, c, "en", "s", 0), (None, a.upper(), "en", "s", 0), (6, None, "en", "s", 0), (6, None, "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = neardup.near_duplicates(df)
+    assert Counter((r.doc_id, r.class_id) for r in got.collect()) == Counter([(1, 1)] * 3 + [(2, 1), (3, 1), (3, 1), (4, 4), (None, 4), (None, 1), (6, 6), (6, 6)])
+    assert Counter((r.doc_id, r.text) for r in neardup.representatives(df).collect()) == Counter([(1, a), (1, b), (4, c), (6, None)])
+
+
 def test_chains_and_dense_groups(spark):
     """A large group whose members are near the threshold of each other."""
     rng = random.Random(11)
@@ -388,12 +456,50 @@ def test_language_does_not_use_the_held_out(spark):
     assert a == b
 
 
-def test_ngram_counts_of_long_texts():
-    rng = np.random.default_rng(1)
-    text = rng.integers(97, 123, (1 << 20) * 2 + 17).astype(np.uint8)
-    at, n = langid.counts(text)
-    assert n.sum() == sum(len(text) - k + 1 for k in langid.ORDERS)
-    assert (np.bincount(langid.grams(text), minlength=langid.DIM)[at] == n).all()
+def brute_grams(text):
+    """Slots of all grams of 1 to 4 characters, in whole numbers of 32 bits."""
+    chars = [32 if 9 <= ord(x) <= 13 else ord(x) for x in text.lower()]
+    out = Counter()
+    for i in range(len(chars)):
+        h = 0
+        for x in chars[i : i + 4]:
+            h = (h * 0x01000193 + x + 1) % 2**32
+            g = h * 0x9E3779B1 % 2**32
+            out[(g ^ (g >> 15)) % 2**18] += 1
+    return out
+
+
+def test_gram_counts(monkeypatch):
+    rng = random.Random(1)
+    texts = ["", "a", "ÀÉß Σ\n\tİx", "नमस्ते दुनिया", "你好世界。", "", "𝒳y" * 9, prose(rng, 40), prose(rng, 300, "αβγδεж中文字"), "x" * 1001]
+    for step in (langid.STEP, 64):
+        monkeypatch.setattr(langid, "STEP", step)
+        got = list(langid.counts(texts))
+        assert [dict(zip(at.tolist(), n.tolist(), strict=True)) for at, n in got] == [brute_grams(t) for t in texts]
+        assert all((np.diff(at) > 0).all() for at, _ in got)
+
+
+def test_predictions_against_brute_force(spark):
+    rng = random.Random(16)
+    words = {"te": "తెలుగు భాష లో మాట పుస్తకం నది ఇల్లు".split(), "hi": "हिन्दी भाषा में शब्द किताब नदी घर".split(), "zh": list("中文语言里的词书河家"), "mr": "मराठी भाषेत शब्द पुस्तक नदी घर आहे".split(), "el": "ΓΛΏΣΣΑ και λέξη βιβλίο ποτάμι σπίτι".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(12)), lang, "s", 0) for i in range(400) for lang in [list(words)[i % 5]]] + [(900, "१२३ !", None, "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    training = df.where("lang is not null").where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    langs, idf, w, t = langid.fit(training)
+    assert langs == sorted(words) and len(idf) == langid.DIM
+    learned = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 5]
+    df_count = Counter(g for r in learned for g in brute_grams(r[1]))
+    for r in langid.identify(df).collect():
+        text, lang = next((x[1], x[2]) for x in rows if x[0] == r.doc_id)
+        if lang is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        tf = {g: (1 + math.log(n)) * (math.log((1 + len(learned)) / (1 + df_count[g])) + 1) for g, n in brute_grams(text).items()}
+        norm = math.sqrt(sum(x * x for x in tf.values()))
+        z = [sum(x / norm * w[g, k] for g, x in tf.items()) / t for k in range(len(langs))]
+        p = [math.exp(x - max(z)) / sum(math.exp(y - max(z)) for y in z) for x in z]
+        assert r.score == pytest.approx(max(p)) and r.lang_pred == langs[p.index(max(p))]
+        assert r.lang_pred == lang
 
 
 def test_ftrl_is_sparse():
@@ -413,6 +519,7 @@ def test_rollup(spark, docs, tmp_path):
         want[s, lang, "d"] += 1
         want[s, lang, "t"] += len(SPACE.findall(t or ""))
     words = rollup.token_rollup(docs, None).collect()
+    assert len(words) == len({k[:2] for k in want})
     assert {(r.source, r.lang): (r.documents, r.tokens) for r in words} == {k[:2]: (want[(*k[:2], "d")], want[(*k[:2], "t")]) for k in want if k[2] == "d"}
     assert rollup.token_rollup(empty(spark), None).count() == 0
 
@@ -431,12 +538,68 @@ def test_rollup_deltas(spark, docs, tmp_path):
     roll.commit("again", rollup.revisions(part, part.withColumn("tokens", part["tokens"] + 1).withColumn("lang", part["source"])))
     assert total() == (n, t + gone[0])
     before = sorted(map(tuple, roll.totals().collect()), key=str)
-    roll.compact("all")
+    assert roll.compact()
     assert sorted(map(tuple, roll.totals().collect()), key=str) == before and not roll.commit("load", rollup.inserts(counted))
     with pytest.raises(ValueError):
         roll.commit("../x", rollup.inserts(counted))
 
 
+def test_rollup_steps_that_stop_or_race(spark, docs, tmp_path, monkeypatch):
+    roll = rollup.Rollup(spark, f"file://{tmp_path}/s")
+    counted = rollup.count_tokens(docs, None)
+    totals = lambda r: sorted(map(tuple, r.totals().collect()), key=str)
+    first, other = rollup.inserts(counted.where("doc_id < 20")), rollup.inserts(counted.where("doc_id >= 20"))
+    # two that both saw a free name: the second one's changes are refused
+    with monkeypatch.context() as m:
+        m.setattr(rollup.Rollup, "committed", lambda self, batch: False)
+        real, m_fs = roll._fs, roll._fs
+        assert roll.commit("a", first)
+        create = roll._create
+        m.setattr(rollup.Rollup, "_create", lambda self, path, content: create(path, content))
+        m.setattr(roll, "_fs", _NeverThere(real))
+        assert not roll.commit("a", other)
+        m.setattr(roll, "_fs", m_fs)
+    want = totals(roll)
+    assert sum(r[3] for r in want) == 20 + 1  # doc 3 is there twice
+    # stopped after the data was written, before the marker; and while the marker was written
+    with monkeypatch.context() as m:
+        m.setattr(rollup.Rollup, "_create", lambda self, path, content: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError):
+            roll.commit("b", other)
+        with pytest.raises(RuntimeError):
+            roll.compact()
+    roll._fs.create(roll._path(f"{roll.root}/batches/b"), False).close()
+    roll._fs.create(roll._path(f"{roll.root}/compactions/00000000"), False).close()
+    assert totals(roll) == want and roll.batches() == ["a"]
+    assert roll.commit("b", other) and not roll.commit("b", other)
+    want = totals(roll)
+    assert roll.compact() and totals(roll) == want and roll.batches() == ["a", "b"] and not roll.commit("a", first)
+    # two compactions from one state: one counts
+    state = roll._state()
+    assert roll.commit("c", rollup.deletes(counted.where("doc_id >= 20")))
+    assert roll.compact()
+    with monkeypatch.context() as m:
+        m.setattr(rollup.Rollup, "_state", lambda self: state)
+        assert not roll.compact()
+    gone = totals(roll)
+    assert sum(r[3] for r in gone) == 21
+    roll.vacuum()
+    assert totals(rollup.Rollup(spark, roll.root)) == gone and len(roll._names("data")) == 1
+
+
+class _NeverThere:
+    """A file system on which every name looks free until it is created."""
+
+    def __init__(self, fs):
+        self.fs = fs
+
+    def exists(self, path):
+        return False
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+
 def test_bpe_counts(spark, docs):
     tiktoken = pytest.importorskip("tiktoken")
     enc = tiktoken.Encoding("t", pat_str=rollup.BPE_PATTERN, mergeable_ranks=rollup.load_ranks(), special_tokens={})
@@ -459,10 +622,32 @@ def brute_quality(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)
 
 
+def brute_content(t, model):
+    """Content share, content lines and lines with words, by a Viterbi walk over the features of one text at a time."""
+    w, trans = model
+    raw = (t or "").encode()
+    data, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    x, _ = quality.line_features(data, quality.Lines(data, off), word_hashes(data, off, "space")[0])
+    path, best = [], None
+    for row in x.astype(float) @ w:
+        if best is None:
+            best = list(row)
+        else:
+            back = [max((0, 1), key=lambda u: best[u] + trans[u, v]) for v in (0, 1)]
+            best = [best[back[v]] + trans[back[v], v] + row[v] for v in (0, 1)]
+            path.append(back)
+    y = [int(best[1] > best[0])]
+    for back in reversed(path):
+        y.append(back[y[-1]])
+    y = y[::-1]
+    n = [len(SPACE.findall(line)) for line in (t or "").split("\n")]
+    return sum(a * b for a, b in zip(n, y, strict=True)) / max(1, sum(n)), sum(a > 0 and b for a, b in zip(n, y, strict=True)), sum(a > 0 for a in n)
+
+
 def quality_rows():
     rng = random.Random(12)
     rows = [(i, ". ".join(prose(rng, 30).capitalize() for _ in range(4)) + ".", "en", "s", 0) for i in range(40)]
-    rows += [(100, "\n".join("| " + " | ".join(prose(rng, 8).split()) + " |" for _ in range(20)), "en", "s", 0), (101, "é é é\né é é\n\n x \n\tx\né é é", "en", "s", 0), (102, "a\x00b c d # < >\r\n" * 40, "en", "s", 0)]
+    rows += [(100, "\n".join("| " + " | ".join(prose(rng, 8).split()) + " |" for _ in range(20)), "en", "s", 0), (101, "é é é\né é é\n\n x \n\tx\né é é", "en", "s", 0), (102, "a\x00b c d # < >\r\n" * 40, "en", "s", 0), (103, "\n".join("| " + " | ".join(prose(rng, 8).split()) + " |" for _ in range(20)), "en", "s", 0)]
     return rows + [(200 + i, t, lang, s, n) for i, (_, t, lang, s, n) in enumerate(corpus())]
 
 
@@ -473,10 +658,19 @@ def test_quality(spark):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_quality(t), i
         assert not (r.base_failed and r.kept)
-    assert all(got[i].kept for i in range(40)) and not got[100].kept
+    assert all(got[i].kept for i in range(40))
     df = spark.createDataFrame(rows, DOCS)
-    kept = quality.kept_documents(df)
-    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in quality.quality(df).where("kept").collect())
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 40, 2)] + [(100, 0), (103, 0), (7, None), (None, 0), (0, 0), (99_999, 0)], "doc_id long, quality int")
+    model = quality.fit(df, labels)
+    verdict = {r.doc_id: r for r in quality.quality(df, labels).collect()}
+    for i, t, *_ in rows:
+        share, content, lines = brute_content(t, model)
+        r = verdict[i]
+        assert (r.content_share, r.n_content_lines, r.n_lines) == (pytest.approx(share), content, lines) and r.kept == (not r.base_failed and share >= 0.5)
+    assert all(verdict[i].kept for i in range(40)) and not verdict[100].kept and not verdict[103].kept
+    odd = df.withColumn("kept", df["doc_id"]).withColumn("good", df["doc_id"]).select("kept", "text", "good", *(c for c in df.columns if c != "text"))
+    kept = quality.kept_documents(odd, labels)
+    assert kept.columns == odd.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in quality.quality(df, labels).where("kept").collect())
     assert quality.quality(empty(spark)).count() == 0
 
 
@@ -664,16 +858,46 @@ def test_lm_scores(spark, docs, odd):
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in data]
     c = Counter(w for ws, h in zip(toks, held, strict=True) if not h for w in ws)
     n, v = sum(c.values()), len(c)
+    # the vocabulary's weights after the training words' expected counts, and each word by all its segmentations
+    pieces = lmscore.load_pieces()
+    whole = lambda w: lmscore.START + w.encode()
+    pieces = lmscore.reweigh(pieces, lmscore.expected_counts(((whole(w), k) for w, k in sorted(c.items(), key=str) if w is not None), lmscore.prefix_table(pieces)))
+    table = lmscore.prefix_table(pieces)
+    logp = {w: lmscore.log_marginal(whole(w), table) / math.log(10) for ws in toks for w in ws if w is not None}
+    short = next(w for w in c if w is not None and len(w) < 9)
+    assert logp[short] == pytest.approx(math.log10(all_segmentations(whole(short), pieces)))
+    end = (c[None] + 1) / (n + 2)
     for d in (docs, odd):
         got = sorted(lmscore.score_documents(d).collect(), key=lambda r: r.doc_id)
         want = sorted(zip([x[0] for x in data], held, toks, strict=True), key=lambda x: x[0])
         assert len(got) == len(want)
         for r, (i, h, ws) in zip(got, want, strict=True):
             assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i, h, len(ws), sum(c[w] > 0 for w in ws), n)
-            assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) and r.score < 0
+            assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
+            assert r.score == pytest.approx(sum(logp[w] + math.log10(1 - end) for w in ws if w is not None) + math.log10(end), rel=1e-6)
     assert lmscore.score_documents(empty(spark)).count() == 0
 
 
+def test_expected_counts_of_long_words(monkeypatch):
+    pieces = lmscore.normalise([(b"ab", 1), (b"abc", 2), (b"bc", 3), (b"c", 9)], 300)
+    table, words = lmscore.prefix_table(pieces), [(b"abcabcbcx" * 4, 3), (b"xyabc", 2)]
+    want = lmscore.expected_counts(iter(words), table)
+    monkeypatch.setattr(lmscore, "EXPECT_BYTES", 0)
+    got = lmscore.expected_counts(iter(words), table)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    long = lmscore.expected_counts(iter([(b"abcx" * 20_000, 1)]), table)
+    assert sum(len(k) * v for k, v in long.items()) == pytest.approx(80_000)
+
+
+def test_long_words_are_scored_whole(spark, monkeypatch):
+    rng = random.Random(17)
+    rows = [(i, " ".join([prose(rng, 5), "".join(rng.choice("abcé") for _ in range(2500)) if i % 2 else "x"]), "en", "s", 0) for i in range(8)] + [(9, "ab" * 1000 + " " + "AB" * 1000, "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    first = sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lmscore.score_documents(df).collect())
+    monkeypatch.setattr(lmscore, "LONG_WORD", 10**6)
+    assert first == sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lmscore.score_documents(df).collect())
+
+
 def test_packing():
     x = np.array([0, 1, 255, 256, 70_000, 2**31 - 1])
     assert (lmscore.unpack(lmscore.pack(x)) == x).all() and len(lmscore.unpack(lmscore.pack(x[:0]))) == 0

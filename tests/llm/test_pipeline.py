@@ -19,6 +19,7 @@ def test_pipeline(spark, tmp_path):
     rows = quality_rows()
     df = spark.createDataFrame(rows, DOCS)
     df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(20)] + [(100, 0), (103, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     words = rows[0][1].split()
     spark.createDataFrame([(1, " ".join(words[5:25]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
