@@ -8,7 +8,7 @@ frequencies and the rate at which texts end come from the training documents too
 
 Layout: one pass turns the corpus into blocks of about BLOCK_BYTES (the block's different words, and its documents as word
 numbers). Each different word is counted and scored once over the whole corpus, joined back to the blocks it occurs in,
-and each block is summed up by document in a partition of its own. No word table is sent whole to any executor or to the
+and each block is summed up by document, with partitions as many as blocks. No word table is sent whole to any executor or to the
 driver. A word longer than LONG_WORD bytes goes through the joins as its digest; the recursions hold a few numbers for
 each of its bytes.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lipika.llm.common import BATCH_ROWS, bounded_batches, drop_scratch, gathered, materialize, numbered, text_chunks, word_bounds, word_hashes
+from lipika.llm.common import bounded_batches, drop_scratch, gathered, materialize, numbered, text_chunks, word_bounds, word_hashes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
@@ -38,8 +38,6 @@ BLOCK_BYTES = 10_000_000
 JOIN_ROWS = 1_000_000
 #: Longer words (in bytes) are known by their digest, behind a blank, which no word has.
 LONG_WORD = 1024
-#: Rows of word statistics that go to a Python worker at once.
-STATISTICS_ROWS = 50_000
 #: Zipf-Mandelbrot's shift.
 SHIFT = 2.7
 #: The mark that starts a word in the vocabulary.
@@ -265,20 +263,12 @@ def _sum_up(train_docs: int, train_tokens: int, train_words: int):
         columns = [pa.array(doc_ids.as_py(), pa.int64()), pa.array(held.as_py(), pa.bool_()), n + 1, known, np.full(len(n), train_tokens, np.int64), base, score]
         return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by block; the words' statistics, in the order of their numbers, before the block itself."""
-        cs, logps = [], []
-        for b in batches:
-            whole = np.flatnonzero(b.column("tokens").is_valid().to_numpy(zero_copy_only=False))
-            c, logp = (b.column(x).to_numpy(zero_copy_only=False) for x in ("c", "logp"))
-            at = 0
-            for k in whole.tolist():
-                cs.append(c[at:k])
-                logps.append(logp[at:k])
-                yield summed(np.concatenate(cs).astype(float), np.concatenate(logps), *(b.column(x)[k] for x in ("tokens", "n_words", "doc_ids", "held")))
-                cs, logps, at = [], [], k + 1
-            cs.append(c[at:].copy())
-            logps.append(logp[at:].copy())
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A block and the statistics of its words, in any order."""
+        order = np.argsort(right.column("pos").to_numpy())
+        c, logp = (right.column(x).to_numpy()[order].astype(float) for x in ("c", "logp"))
+        out = [summed(c, logp, *(left.column(x)[k] for x in ("tokens", "n_words", "doc_ids", "held"))) for k in range(left.num_rows)]
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -305,15 +295,9 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     scored = materialize(spelled.mapInArrow(_lattice(spark.sparkContext.broadcast(pieces)), "word string, c long, logp double"), "lm-words")
     words, tokens = scored.agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0))).first()
     sums = _sum_up(train_docs, tokens + train_docs, words + (train_docs > 0))
-    whole = blocks.select("block", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("logp"), "tokens", "n_words", "doc_ids", "held")
-    stats = rows.join(scored, "word").select("block", "pos", "c", "logp", *(F.lit(None).cast(whole.schema[x].dataType).alias(x) for x in ("tokens", "n_words", "doc_ids", "held")))
-    # a partition to each block
-    each = whole.unionByName(stats).repartitionById(max(1, n_blocks), F.col("block").cast("int")).sortWithinPartitions("block", F.asc_nulls_last("pos"))
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    try:
-        spark.conf.set(batch, STATISTICS_ROWS)  # rows of three numbers
-        out = materialize(each.mapInArrow(sums, SCHEMA), "lm-scores")
-    finally:
-        spark.conf.set(batch, BATCH_ROWS)
+    # as many partitions as leave each with a block or two, however many blocks there are
+    stats = rows.join(scored, "word").select("block", "pos", "c", "logp").repartition(2 * max(1, n_blocks), "block")
+    whole = blocks.select("block", "tokens", "n_words", "doc_ids", "held").repartition(2 * max(1, n_blocks), "block")
+    out = materialize(whole.groupBy("block").cogroup(stats.groupBy("block")).applyInArrow(sums, SCHEMA), "lm-scores")
     drop_scratch(spark, blocks, counts, scored)
     return out
