@@ -7,15 +7,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lipika.functions.text import text
+from lipika.functions.text import SPACE, once, text
 
-#: Distinct tokens of a pair are coded as characters from here on; so many fit.
-FIRST_CODE, CODES = 0x4E00, 20_000
+#: Distinct words of a pair are coded as characters from here on, beyond the surrogates; so many fit.
+FIRST_CODE, CODES = 0xE000, 0x110000 - 0xE000
 
 
 def words(c: Column | str) -> Column:
     """Words as the error rates count them: runs of white space collapsed, split at spaces."""
-    return F.filter(F.split(text(c), r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(text(c), SPACE), lambda x: x != "")
 
 
 def char_edits(ref: Column | str, hyp: Column | str) -> Column:
@@ -23,20 +23,24 @@ def char_edits(ref: Column | str, hyp: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def word_edits(ref: Column | str, hyp: Column | str) -> Column:
     """Levenshtein distance over words, by the built-in character distance: each distinct word of the pair becomes one
-    character. Pairs with more distinct words than there are codes need long_word_edits."""
+    character. A pair with more distinct words than there are characters is an error; long_word_edits takes it."""
     r, h = words(ref), words(hyp)
-    vocab = F.array_distinct(F.concat(r, h))
-    alphabet = F.lit("".join(chr(FIRST_CODE + i) for i in range(CODES)))
 
-    def coded(ws: Column) -> Column:
-        return F.array_join(F.transform(ws, lambda w: F.substr(alphabet, F.array_position(vocab, w).cast("int"), F.lit(1))), "")
+    def coded(ws: Column, vocab: Column) -> Column:
+        code = lambda w: F.lpad(F.hex(F.array_position(vocab, w) + (FIRST_CODE - 1)), 8, "0")
+        return F.decode(F.unhex(F.array_join(F.transform(ws, code), "")), "UTF-32")
 
-    return F.levenshtein(coded(r), coded(h))
+    def distance(p: Column) -> Column:
+        fits = F.size(p["vocab"]) <= CODES
+        edits = F.levenshtein(coded(p["r"], p["vocab"]), coded(p["h"], p["vocab"]))
+        return F.when(fits, edits).otherwise(F.raise_error(F.lit("more distinct words in a pair than characters: use long_word_edits")).cast("int"))
+
+    return once(F.struct(r.alias("r"), h.alias("h"), F.array_distinct(F.concat(r, h)).alias("vocab")), distance)
 
 
 def _word_edits(a: str | None, b: str | None) -> int:

@@ -15,18 +15,15 @@ def ratio(a: Column, b: Column, zero: float | None = 0.0) -> Column:
     return r if zero is None else F.coalesce(r, F.lit(zero))
 
 
-def score_tokens(pairs: DataFrame, norm=match_norm, tight_form=tight, amount_as_currency: bool = False) -> DataFrame:
+def score_tokens(pairs: DataFrame, norm=match_norm, tight_form=tight, amount_as_currency: bool = False, norms: str | None = None) -> DataFrame:
     """Rows (…, lang, hypothesis, entity_tokens) with `hits`: one boolean for each token.
 
-    The hypothesis is normalised once per row; surfaces once per token, in one pass over the row's array.
+    The hypothesis is normalised once per row; surfaces once per token, in one pass over the row's array. norms: a column that
+    has token_norms already, for references that meet several hypotheses.
     """
-    mark = "\u0001"
     tokens = F.coalesce("entity_tokens", F.array().cast("array<struct<surface:string,start:int,end:int,type:string>>"))
     surface = lambda t: F.coalesce(t["surface"], F.lit(""))
-    if norm is match_norm:  # surfaces go through the normal form together, as one string
-        norms = F.slice(norm_each(F.array_join(F.transform(tokens, surface), mark), mark), 1, F.size(tokens))
-    else:
-        norms = F.transform(tokens, lambda t: norm(surface(t)))
+    norms = F.col(norms) if norms else token_norms(norm)
 
     def hits(made: Column) -> Column:
         return F.zip_with(tokens, made["norms"], lambda t, n: hit(F.coalesce(t["type"], F.lit("")), surface(t), n, made["hyp"], F.col("lang"), amount_as_currency))
@@ -35,14 +32,20 @@ def score_tokens(pairs: DataFrame, norm=match_norm, tight_form=tight, amount_as_
     return pairs.withColumn("hits", once(F.struct(hyp.alias("hyp"), norms.alias("norms")), hits))
 
 
-def norm_each(joined: Column, mark: str) -> Column:
-    """match_norm of the parts of a string joined by `mark`."""
+def token_norms(norm=match_norm) -> Column:
+    """Normal forms of entity_tokens' surfaces."""
+    surfaces = F.transform(F.coalesce(F.col("entity_tokens.surface"), F.array().cast("array<string>")), lambda s: F.coalesce(s, F.lit("")))
+    return norm_each(surfaces) if norm is match_norm else F.transform(surfaces, norm)
+
+
+def norm_each(surfaces: Column) -> Column:
+    """match_norm of the strings of an array."""
     from lipika.functions.text import _py_match
 
-    def parts(s):
-        return s.map(lambda t: [_py_match(x) for x in (t or "").split(mark)])
+    def each(s):
+        return s.map(lambda row: [_py_match(x) for x in row])
 
-    return F.pandas_udf(parts, "array<string>")(joined)
+    return F.pandas_udf(each, "array<string>")(surfaces)
 
 
 def row_scores(scored: DataFrame) -> DataFrame:

@@ -31,14 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- Spark ------------------------------------------------------------------------------------
 
+#: Lines that a document has at most, for numbering them throughout.
+LINES = 2**24
 CLASSES = ["digits", "currency", "addresses", "brands", "codemix", "proper_nouns"]
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """First line of each document as an utterance: id, lang, source, entity_class (by doc_id), text, ord."""
-    cls = F.element_at(F.array(*map(F.lit, CLASSES)), (F.col("doc_id") % len(CLASSES) + 1).cast("int"))
-    line = F.split_part(text("text"), F.lit("\n"), F.lit(1))
-    return docs.select(F.col("doc_id").cast("string").alias("id"), "lang", "source", cls.alias("entity_class"), line.alias("text"), F.col("doc_id").alias("ord"))
+    """Every line of each document as an utterance: id, lang, source, entity_class (by doc_id and line), text, ord."""
+    lines = docs.select("doc_id", "lang", "source", F.posexplode(F.split(text("text"), "\n", -1)).alias("line", "text"))
+    cls = F.element_at(F.array(*map(F.lit, CLASSES)), ((F.col("doc_id") + F.col("line")) % len(CLASSES) + 1).cast("int"))
+    return lines.select(F.concat_ws("-", "doc_id", "line").alias("id"), "lang", "source", cls.alias("entity_class"), "text", (F.col("doc_id") * LINES + F.col("line")).alias("ord"))
 
 
 def plain_tight(c: Column | str) -> Column:
@@ -71,9 +73,9 @@ def sql_norm(t: str) -> str:
 
 
 SQL_SENTENCES = f"""sentences AS (
-  SELECT CAST(doc_id AS VARCHAR) AS id, lang, source, [{', '.join(repr(c) for c in CLASSES)}][doc_id % {len(CLASSES)} + 1] AS entity_class,
-         split_part(text, chr(10), 1) AS text, doc_id AS ord
-  FROM documents)"""
+  SELECT doc_id || '-' || line AS id, lang, source, [{', '.join(repr(c) for c in CLASSES)}][(doc_id + line) % {len(CLASSES)} + 1] AS entity_class,
+         lines[line + 1] AS text, doc_id * {LINES} + line AS ord
+  FROM (SELECT *, unnest(range(len(lines))) AS line FROM (SELECT doc_id, lang, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)))"""
 
 SQL_PAIRS = """heads AS (SELECT substr(text, 1, 40) AS head, min(doc_id) AS ref_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
 pairs AS (

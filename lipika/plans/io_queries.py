@@ -11,7 +11,8 @@ from lipika.functions.text import key_norm, plain_norm
 from lipika.operators import metrics as m
 from lipika.operators import relational as rel
 from lipika.plans.base import SQL_PAIRS, SQL_SENTENCES, plain_tight, query, sentences, sql_norm, sql_tokens, table
-from lipika.plans.scoring_queries import tagged_pairs
+from lipika.plans.scoring_queries import SQL_TURN_CODES, tagged_pairs, turn_pairs
+from lipika.plans.text_queries import _REASON
 from lipika.sources import corpus as src
 from lipika.sources import sinks
 from lipika.sources.scratch import scratch
@@ -71,12 +72,12 @@ def append_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query(f"""WITH {SQL_SENTENCES}, ok AS (SELECT * FROM sentences WHERE len({sql_tokens('text')}) BETWEEN 3 AND 25 AND entity_class IN ('digits', 'codemix', 'brands', 'proper_nouns') AND (entity_class IN ('digits', 'proper_nouns') OR regexp_matches(text, '[A-Za-z]{{2,}}')))
+@query(f"""WITH {SQL_SENTENCES}, ok AS (SELECT * FROM sentences WHERE {_REASON} = 'ok')
 SELECT lang, entity_class, count(DISTINCT {sql_norm('text')}) AS n FROM ok GROUP BY ALL""")
 def streamed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validate, tag and deduplicate on a file stream that is drained once."""
     root = scratch(spark, "stream")
-    rows = sentences(table(spark, sf_dir, "documents")).where(F.col("entity_class").isin("digits", "codemix", "brands", "proper_nouns"))
+    rows = sentences(table(spark, sf_dir, "documents"))
     sinks.write_jsonl(rows.select("id", "lang", "entity_class", "text"), f"{root}/in")
     out = stream.deduplicate(stream.accept(stream.read(spark, f"{root}/in")))
     stream.write(out, f"{root}/out", f"{root}/state").awaitTermination()
@@ -111,13 +112,9 @@ def ehr_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.ehr_by_type(m.score_tokens(both, norm=plain_norm, tight_form=plain_tight))
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn, trim(text) AS t FROM conversations WHERE regexp_full_match(text, '[\x00-\x7F]*')),
-p AS (SELECT a.conv_id, a.turn, a.t AS r, b.t AS h FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn FROM p WHERE length(r) > 0 AND levenshtein(r, h) <= 0.9 * length(r)""")
+@query(f"WITH {SQL_TURN_CODES} SELECT conv_id, turn FROM coded WHERE length(r) > 0 AND levenshtein(a, b) <= 0.9 * length(r)")
 def cer_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
-    nxt = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
-    return m.cer_filter(rows.join(nxt, ["conv_id", "turn"]), 0.9).select("conv_id", "turn")
+    return m.cer_filter(turn_pairs(spark, sf_dir), 0.9).select("conv_id", "turn")
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (p.page_id IS NOT NULL) AS with_page FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id")
@@ -128,8 +125,8 @@ def sibling_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.agg(F.count("*").alias("n")).crossJoin(F.broadcast(have))  # one row each
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(split_part(text, chr(10), 1), '\p{Nd}')) > 0 AS has_digit, len(regexp_extract_all(split_part(text, chr(10), 1), '[A-Z][A-Za-z]+')) AS n_nouns FROM documents")
+@query(rf"WITH {SQL_SENTENCES} SELECT id, len(regexp_extract_all(text, '\p{{Nd}}')) > 0 AS has_digit, len(regexp_extract_all(text, '[A-Z][A-Za-z]+')) AS n_nouns FROM sentences")
 def tag_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentences(table(spark, sf_dir, "documents"))
     n = lambda c: F.size(tagger.tag("text", F.lit(c))).cast("long")
-    return rows.select(F.col("ord").alias("doc_id"), (n("digits") > 0).alias("has_digit"), n("proper_nouns").alias("n_nouns"))
+    return rows.select("id", (n("digits") > 0).alias("has_digit"), n("proper_nouns").alias("n_nouns"))

@@ -129,21 +129,34 @@ def wer_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("word_edits").cast("long").alias("word_edits"), F.sum("ref_words").cast("long").alias("ref_words"), F.round(m.ratio(F.sum("word_edits"), F.sum("ref_words")), 4).alias("wer"))
 
 
-@query(r"""WITH c AS (SELECT conv_id, turn, role, trim(text) AS t FROM conversations WHERE regexp_full_match(text, '[\x00-\x7F]*')),
-p AS (SELECT a.role, a.t AS r, b.t AS h FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT role, count(*) AS n, CAST(sum(levenshtein(r, h)) AS BIGINT) AS char_edits, CAST(sum(length(r)) AS BIGINT) AS ref_chars, round(CAST(sum(levenshtein(r, h)) AS DOUBLE) / sum(length(r)), 4) AS cer FROM p GROUP BY role""")
-def cer_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*\z"))
+# the built-in distance of the other engine counts bytes: the table's characters are coded as characters of one byte each
+SQL_TURN_CODES = r"""c AS (SELECT conv_id, turn, role, trim(text) AS t FROM conversations),
+v AS (SELECT list(x ORDER BY x) AS v FROM (SELECT DISTINCT unnest(string_split(t, '')) AS x FROM c)),
+p AS (SELECT a.conv_id, a.turn, a.role, a.t AS r, b.t AS h FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+coded AS (SELECT *, array_to_string(list_transform(string_split(r, ''), lambda x: chr(CAST(list_position(v.v, x) AS INT))), '') AS a,
+  array_to_string(list_transform(string_split(h, ''), lambda x: chr(CAST(list_position(v.v, x) AS INT))), '') AS b FROM p, v)"""
+
+
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation as a reference, the next one as its hypothesis."""
+    rows = table(spark, sf_dir, "conversations")
     nxt = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
-    pairs = rows.join(nxt, ["conv_id", "turn"]).select("role", m.char_edits("text", "hypothesis").alias("e"), F.length(m.strip("text")).alias("l"))
+    return rows.join(nxt, ["conv_id", "turn"])
+
+
+@query(f"""WITH {SQL_TURN_CODES}
+SELECT role, count(*) AS n, CAST(sum(levenshtein(a, b)) AS BIGINT) AS char_edits, CAST(sum(length(r)) AS BIGINT) AS ref_chars, round(CAST(sum(levenshtein(a, b)) AS DOUBLE) / sum(length(r)), 4) AS cer FROM coded GROUP BY role""")
+def cer_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = turn_pairs(spark, sf_dir).select("role", m.char_edits("text", "hypothesis").alias("e"), F.length(m.strip("text")).alias("l"))
     return pairs.groupBy("role").agg(F.count("*").alias("n"), F.sum("e").cast("long").alias("char_edits"), F.sum("l").cast("long").alias("ref_chars"), F.round(m.ratio(F.sum("e"), F.sum("l")), 4).alias("cer"))
 
 
 def _systems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three systems' hypotheses for each opening pair, in long form, scored row by row."""
     wide = tagged_pairs(spark, sf_dir).withColumn("sys_cut", F.substring("hypothesis", 1, 80)).withColumn("sys_blank", F.when(F.col("id") % 5 == 0, "").otherwise(F.col("hypothesis"))).withColumnRenamed("hypothesis", "sys_same")
-    long = m.long_form(wide, {"cut": "sys_cut", "blank": "sys_blank", "same": "sys_same"})
-    scored = m.score_tokens(long, norm=plain_norm, tight_form=plain_tight)
+    # what the reference gives is made before its rows are tripled
+    long = m.long_form(wide.withColumn("norms", m.token_norms(plain_norm)).drop("text"), {"cut": "sys_cut", "blank": "sys_blank", "same": "sys_same"})
+    scored = m.score_tokens(long, norm=plain_norm, tight_form=plain_tight, norms="norms")
     return m.row_scores_only(scored).withColumn("sfr", script_fidelity("hypothesis", F.lit("en")))
 
 

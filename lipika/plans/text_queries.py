@@ -124,8 +124,7 @@ def cross_class_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _span_sums(df: DataFrame, key: str, text: str, cls: str) -> DataFrame:
-    kind, pattern = tagger.PATTERNS[cls]
-    spans = df.select(key, tagger.spans(text, pattern, kind).alias("s"))
+    spans = df.select(key, tagger.spans(text, cls).alias("s"))
     total = lambda f: F.aggregate(F.col(f"s.{f}"), F.lit(0).cast("long"), lambda a, x: a + x)
     return spans.where("size(s) > 0").select(key, F.size("s").cast("long").alias("n_spans"), total("start").alias("sum_start"), total("end").alias("sum_end"), F.col("s")[0]["surface"].alias("first_surface"))
 
@@ -161,20 +160,25 @@ def tag_proper_nouns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_sums(table(spark, sf_dir, "documents"), "doc_id", "text", "proper_nouns")
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\b\d{6}\b')) AS n_pins, len(regexp_extract_all(text, '\b\d{1,4}[A-Za-z]?\b')) AS n_plots FROM documents
-WHERE regexp_full_match(text, '[\x00-\x7F]*') AND len(regexp_extract_all(text, '\b\d{6}\b')) + len(regexp_extract_all(text, '\b\d{1,4}[A-Za-z]?\b')) > 0""")
+# a match between two boundaries is a whole run of word characters
+_RUNS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
+_PINS = rf"len(list_filter({_RUNS}, lambda x: regexp_full_match(x, '\p{{Nd}}{{6}}')))"
+_PLOTS = rf"len(list_filter({_RUNS}, lambda x: regexp_full_match(x, '\p{{Nd}}{{1,4}}[A-Za-z]?')))"
+
+
+@query(f"SELECT doc_id, {_PINS} AS n_pins, {_PLOTS} AS n_plots FROM documents WHERE {_PINS} + {_PLOTS} > 0")
 def tag_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*\z")).select("doc_id", tagger.addresses("text").alias("s")).where("size(s) > 0")
+    tags = table(spark, sf_dir, "documents").select("doc_id", tagger.addresses("text").alias("s")).where("size(s) > 0")
     n = lambda k: F.size(F.filter("s", lambda x: x["type"] == k)).cast("long")
     return tags.select("doc_id", n("pincode").alias("n_pins"), n("house_or_plot").alias("n_plots"))
 
 
-_DENSE = "list_filter([CASE WHEN regexp_matches(text, '\\p{Nd}') THEN 'digits' END, CASE WHEN regexp_matches(text, '[A-Z][A-Za-z0-9]+') THEN 'brands' END, CASE WHEN regexp_matches(text, '[A-Z][A-Za-z]+') THEN 'proper_nouns' END], lambda x: x IS NOT NULL)"
+_DENSE = "list_filter([CASE WHEN regexp_matches(text, '\\p{Nd}') THEN 'digits' END, CASE WHEN regexp_matches(text, '\\p{Nd}') THEN 'currency' END, CASE WHEN regexp_matches(text, '[A-Z][A-Za-z0-9]+') THEN 'brands' END, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'codemix' END, CASE WHEN regexp_matches(text, '[A-Z][A-Za-z]+') THEN 'proper_nouns' END], lambda x: x IS NOT NULL)"
 
 
 @query(f"WITH {SQL_SENTENCES} SELECT ({_DENSE})[1] AS assigned, len({_DENSE}) AS n_classes, count(*) AS n FROM sentences GROUP BY ALL")
 def entity_dense_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentences(table(spark, sf_dir, "documents")).select(tagger.dense_classes("text", ["digits", "brands", "proper_nouns"]).alias("c"))
+    rows = sentences(table(spark, sf_dir, "documents")).select(tagger.dense_classes("text", ["digits", "currency", "brands", "codemix", "proper_nouns"]).alias("c"))
     return rows.groupBy(F.try_element_at("c", F.lit(1)).alias("assigned"), F.size("c").cast("long").alias("n_classes")).agg(F.count("*").alias("n"))
 
 
@@ -189,15 +193,14 @@ def path_and_id_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT c_custkey, array_to_string(list_transform(list_filter(string_split(c_phone, ''), lambda x: x <> '' AND x <> ' '), lambda x: CASE x WHEN '0' THEN 'शून्य' WHEN '1' THEN 'एक' WHEN '2' THEN 'दो' WHEN '3' THEN 'तीन' WHEN '4' THEN 'चार' WHEN '5' THEN 'पाँच' WHEN '6' THEN 'छह' WHEN '7' THEN 'सात' WHEN '8' THEN 'आठ' WHEN '9' THEN 'नौ' ELSE x END), ' ') AS spelled
-FROM (SELECT c_custkey, substr(c_name, 10) AS c_phone FROM customer)""")
+FROM (SELECT c_custkey, c_name AS c_phone FROM customer)""")
 def spell_digit_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", tx.spell_digits(F.substring("c_name", 10, 100), F.lit("hi")).alias("spelled"))
+    return table(spark, sf_dir, "customer").select("c_custkey", tx.spell_digits("c_name", F.lit("hi")).alias("spelled"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN instr(text, 'the') > 0 THEN substr(text, 1, instr(text, 'the') - 1) || 'THE' || substr(text, instr(text, 'the') + 3) ELSE text END AS replaced FROM (SELECT doc_id, split_part(text, chr(10), 1) AS text FROM documents)""")
+@query(r"""SELECT doc_id, CASE WHEN instr(text, 'the') > 0 THEN substr(text, 1, instr(text, 'the') - 1) || 'THE' || substr(text, instr(text, 'the') + 3) ELSE text END AS replaced FROM documents""")
 def replace_first_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.split_part("text", F.lit("\n"), F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.replace_first(line, F.lit("the"), F.lit("THE")).alias("replaced"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.replace_first(F.col("text"), F.lit("the"), F.lit("THE")).alias("replaced"))
 
 
 @query()

@@ -37,13 +37,18 @@ def append_new(df: DataFrame, path: str, keys: list[str], schema: str | None = N
 def swap(df: DataFrame, path: str, backup: bool = True) -> None:
     """Replace the table that df may be read from: write beside it, keep the first original as backup, rename."""
     fs, path_ = _fs(df.sparkSession, path)
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.orig"
+    mark = uuid.uuid4().hex
+    new, old = f"{path}.new-{mark}", f"{path}.orig"
     df.write.parquet(new)
-    if backup and not fs.exists(path_(old)):
-        fs.rename(path_(path), path_(old))
-    else:
-        fs.delete(path_(path), True)
-    fs.rename(path_(new), path_(path))
+    # what is replaced goes aside first, so that one of the two is always there
+    first = backup and not fs.exists(path_(old))
+    aside = old if first else f"{path}.old-{mark}"
+    if fs.exists(path_(path)) and not fs.rename(path_(path), path_(aside)):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(path_(new), path_(path)):
+        raise OSError(f"{path} can't be replaced; its last state is in {aside}")
+    if not first:
+        fs.delete(path_(aside), True)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
