@@ -1,7 +1,6 @@
 """DataFrame operators: validation, audit, cleaning, scoring, joins, samples, rewriting, planning."""
 
-import json
-import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,8 +16,6 @@ from lipika.operators.rewrite import changed_counts, preview, rewrite
 TE = SPELLED_DIGITS["te"]
 TOK = "array<struct<surface:string,start:int,end:int,type:string>>"
 te = "నా పేరు రవి"
-#: A folder with prediction files (text and *_hyp columns) and flat scorecards of the same names, to check against.
-EVALUATION = os.environ.get("PREDICTIONS_DIR", "")
 
 
 def test_validation(spark):
@@ -211,28 +208,45 @@ def test_planning(spark):
     assert {r.lang: (r.existing, r.skip) for r in pl.skip_pairs(pairs_, have, ["lang"], 10).collect()} == {"a": (7, True), "b": (0, False)}
 
 
-def test_known_error_rates(spark):
-    """Word, character and script rates of prediction files with known scorecards, where they are at hand."""
-    found = {}
-    for folder, _, names in os.walk(EVALUATION):
-        for n in names:
-            if n.endswith("_predictions.jsonl") and "_te_" in n:
-                found[n] = os.path.join(folder, n)
-    if not found:
-        pytest.skip("no prediction files")
-    checked = 0
-    for n, path in found.items():
-        card_path = path.replace("_predictions.jsonl", "_scorecard.json")
-        if not os.path.exists(card_path):
-            continue
-        card = json.load(open(card_path))
-        rows = [json.loads(x) for x in open(path) if x.strip()]
-        for c in [k for k in rows[0] if k.endswith("_hyp")]:
-            flat = card if "wer" in card else None
-            if flat is None:
-                continue
-            df = spark.createDataFrame([(r["text"], r.get(c) or "", "te") for r in rows], "text string, hypothesis string, lang string")
-            got = m.scorecard(df, [], ehr=False).first()
-            assert (got.wer, got.cer, got.sfr_mean) == pytest.approx((flat["wer"], flat["cer"], flat["sfr_mean"]), abs=1.01e-4), n
-            checked += 1
-    assert checked >= 5
+def brute_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = _next_row(row, i, x, b)
+    return row[-1]
+
+
+def _next_row(row, i, x, b):
+    out = [i]
+    for j, y in enumerate(b, 1):
+        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+    return out
+
+
+def test_error_rates_against_brute_force(spark):
+    rng = random.Random(31)
+    words = ["నా", "పేరు", "మీ", "मेरा", "नाम", "है", "OTP", "98765", "é", "x\x1cy", "a\u00a0b", "பெயர்"]
+    rows = [(i, ["te", "hi", "ta"][i % 3], " ".join(rng.choice(words) for _ in range(rng.randint(0, 9))), " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for i in range(120)]
+    rows += [(200, "te", None, "నా"), (201, "te", "  నా\tపేరు\x1f", None), (202, "hi", "", "")]
+    df = spark.createDataFrame(rows, "id long, lang string, text string, hypothesis string")
+    got = {r.lang: r for r in m.scorecard(df, ["lang"], ehr=False).collect()}
+    for lang in ("te", "hi", "ta"):
+        own = [((a or ""), (b or "")) for _, x, a, b in rows if x == lang]
+        w = sum(brute_edits(a.split(), b.split()) for a, b in own), sum(len(a.split()) for a, _ in own)
+        c = sum(brute_edits(a.strip(), b.strip()) for a, b in own), sum(len(a.strip()) for a, _ in own)
+        assert (got[lang].n, got[lang].wer, got[lang].cer) == (len(own), pytest.approx(w[0] / w[1], abs=1e-4), pytest.approx(c[0] / c[1], abs=1e-4))
+
+
+def test_word_edits_of_many_words(spark):
+    from lipika.functions.distance import long_word_edits, word_edits
+
+    many = " ".join(f"w{i}" for i in range(25_000))
+    rows = [(many, many.replace("w7 ", "").replace("w24000 ", "z "), 2), ("a\x1cb", "a b", 0), ("a b c d e f", "a b c x y z", 3), ("", "x", 1)]
+    df = spark.createDataFrame(rows, "r string, h string, want int")
+    assert df.select(word_edits("r", "h").alias("g"), "want").where("g <> want").count() == 0
+    assert df.where("length(r) < 100").select(long_word_edits("r", "h").alias("g"), "want").where("g <> want").count() == 0
+
+
+def test_surfaces_may_hold_any_character(spark):
+    row = [("1", "te", "x", "a\x01b c", [("a\x01b", 0, 3, "house"), (None, 0, 0, "house"), ("C", 0, 1, "house")])]
+    df = spark.createDataFrame(row, f"id string, lang string, text string, hypothesis string, entity_tokens {TOK}")
+    assert m.score_tokens(df).select("hits").first()[0] == [True, True, True]
