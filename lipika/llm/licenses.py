@@ -5,8 +5,9 @@ every match holds and that must occur before its expression is tried, a priority
 with one search. Of the detections, those inside the interval of another of the same or a higher priority are suppressed
 (of equal intervals the higher priority stays, then the earlier rule). Base phrases are rules too; their labels always stay.
 
-Defined results: a null or empty text has no words and no labels (empty strings, score 0); repeated rows are separate rows;
-empty input gives an empty result; other columns are not read.
+Defined results: a null or empty text has no words and no labels (empty strings, score 0); very long texts are read whole;
+repeated rows are separate rows; of detections in one place with equal priority the earlier rule's stays; empty input gives
+an empty result; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ left-to-right fill needs at most n shards is found by binary search, each probe
 the group sizes, and the order is cut there. Prefix sums stay in the shared folder; the driver holds one sum per block
 of 65,536 groups and fetches the few blocks in which a probe can cut.
 
-Defined results: null text is a group of its own kind (size 1, null crc); empty text is another group; repeated rows
-are separate rows of one group; empty input gives an empty result; other columns of the input are not read.
+Defined results: null text is a group of its own kind (size 1, null crc); empty text is another group; a very long text is one
+group, which sets the capacity if it is larger than an even share; repeated rows are separate rows of one group; groups are
+ordered by their text's hash, and rows of a group by doc_id, so equal sizes need no rule; empty input gives an empty result;
+columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
