@@ -253,7 +253,7 @@ def shingles(words: np.ndarray, prefix: np.ndarray, k: int) -> tuple[np.ndarray,
         h = np.zeros(len(words), U64)
         for j in range(k):
             part = np.zeros(len(words), U64)
-            part[: len(words) - j] = words[j:] if j else words
+            part[: max(0, len(words) - j)] = words[j:]
             part[left <= j] = U64(0x51ED27)
             h = mix64(h * U64(6364136223846793005) + part + U64(j + 1))
     keep = (left >= k) | ((np.arange(len(words)) == prefix[:-1][row]) & (n[row] < k))

@@ -916,3 +916,16 @@ def test_word_hashes():
         assert np.diff(prefix).tolist() == [len(w) for w in words]
         flat = [w for ws in words for w in ws]
         assert len(set(flat)) == len(set(h.tolist())) == len(set(zip(flat, h.tolist(), strict=True)))
+
+
+def test_shingles_of_few_words():
+    """Runs of texts that have fewer words together than a shingle."""
+    for texts in (["a b"], ["a"], ["", "a b c"], ["a b c d"], ["a", "b", ""], [""]):
+        raw = [t.encode() for t in texts]
+        data, off = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+        row, item, weight, _, _ = neardup.weighted_shingles(data, off)
+        assert row.tolist() == [i for i, t in enumerate(texts) if t] and (weight == 1).all()
+        # the same text has the same shingle beside longer ones
+        n = len(raw[-1])
+        beside = neardup.weighted_shingles(np.frombuffer(raw[-1] + b"v w x y z aa", np.uint8), np.array([0, n, n + 12]))
+        assert not texts[-1] or item[-1] == beside[1][beside[0] == 0][0]
