@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lipika.functions.lexicon import SPELLED_DIGITS
 from lipika.functions.text import replace_first, spell_digits, text
+from lipika.sources import sinks
 
 SPELLED_TYPES = ["pincode", "phone", "digit_run"]
 #: Plot numbers are respelled from so many characters on.
@@ -46,3 +47,12 @@ def changed_counts(rewritten: DataFrame) -> DataFrame:
 def preview(rewritten: DataFrame, order: str, k: int = 5) -> DataFrame:
     """First k changed rows of each language."""
     return rewritten.where("changed").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(order))).where(F.col("_n") <= k).drop("_n")
+
+
+def rewrite_corpus(df: DataFrame, path: str, listed: str, clip: str = "audio_path") -> DataFrame:
+    """Replace the table at `path` by df respelled (df may be read from it; its first original stays beside it), write the
+    clips of changed rows to `listed`, one path per line, and return the counts by language and in total."""
+    sinks.swap(rewrite(df), path)
+    done = df.sparkSession.read.parquet(path)
+    sinks.write_paths(done.where("changed"), listed, clip)
+    return changed_counts(done)

@@ -106,8 +106,19 @@ def templates(spark: SparkSession, class_file: str, lang_file: str) -> DataFrame
     return both.join(F.broadcast(best), F.col("rank") == F.col("best")).select("template")  # one row
 
 
+def _plan_value(value: str) -> object:
+    """JSON, an inline list of bare words, or a bare word."""
+    try:
+        return json.loads(value)
+    except ValueError:
+        pass
+    if value.startswith("[") and value.endswith("]"):
+        return [_plan_value(v.strip()) for v in value[1:-1].split(",") if v.strip()]
+    return value.strip("'\"")
+
+
 def plan(text: str | None, defaults: dict) -> dict:
-    """Plan from JSON or `key: value` lines, over the defaults."""
+    """Plan from JSON or `key: value` lines, over the defaults; a value may be a list, inline or as `- item` lines below its key."""
     out = dict(defaults)
     if not text:
         return out
@@ -115,13 +126,18 @@ def plan(text: str | None, defaults: dict) -> dict:
         return out | json.loads(text)
     except ValueError:
         pass
+    key = None
     for line in text.splitlines():
-        if m := re.match(r"\s*([A-Za-z_]\w*)\s*:\s*(.+?)\s*(?:#.*)?$", line):
-            value = m[2].strip("'\"")
-            try:
-                out[m[1]] = json.loads(value)
-            except ValueError:
-                out[m[1]] = value
+        line = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if (m := re.match(r"\s*-\s+(.+)$", line)) and key:
+            out[key] = [*(out[key] if fresh else []), _plan_value(m[1].strip())]
+            fresh = True
+        elif m := re.match(r"\s*([A-Za-z_]\w*)\s*:\s*(.*)$", line):
+            key, fresh = (None if m[2] else m[1]), False
+            if m[2]:
+                out[m[1]] = _plan_value(m[2])
+            else:
+                out.setdefault(key, None)
     return out
 
 

@@ -71,6 +71,7 @@ def test_sidecars_templates_shards(spark, tmp_path):
 def test_plan_and_cards(spark, tmp_path):
     assert src.plan("rows: 5 # five\nname: 'x'\n", {"rows": 1, "k": 2}) == {"rows": 5, "k": 2, "name": "x"}
     assert src.plan('{"rows": 7}', {}) == {"rows": 7} and src.plan(None, {"a": 1}) == {"a": 1}
+    assert src.plan("langs: [te, 'hi'] # two\nmix:\n  - a: b\n  - 2\nrows: 3\n- stray\nnone:\n", {"mix": [9], "none": 1}) == {"langs": ["te", "hi"], "mix": ["a: b", 2], "rows": 3, "none": 1}
     p = write(tmp_path / "s.json", json.dumps({"by": {"x": {"ehr": 0.5}}}))
     assert src.scorecards(spark, p).select(src.lookup("json", "by.x.ehr"), src.lookup("json", "by.y")).first()[:] == (0.5, None)
     df = spark.createDataFrame([("", "b")], "speaker_id string, client_id string")
