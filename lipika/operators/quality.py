@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lipika.functions import lexicon as lx
 from lipika.functions.text import block_count, col, has_block, has_latin_word, latin_count, text, token_count
+from lipika.sources.scratch import spare, written
 
 MIN_TOKENS, MAX_TOKENS = 3, 25
 LATIN_CAP, BRAND_LATIN_CAP = 8, 30
@@ -84,6 +85,12 @@ def usable_text(df: DataFrame, c: str = "text") -> DataFrame:
     return df.where(text(c) != "")
 
 
+def _place(file: list[str], key: str, out: str, order: str) -> Column:
+    """Place among the rows of one file and key; rows that are `out` of the count are dealt by their order, for balance."""
+    apart = F.when(F.col(out), F.pmod(F.xxhash64(order), F.lit(4096)))
+    return F.row_number().over(Window.partitionBy(*file, key, out, apart).orderBy(order))
+
+
 # --- audit ------------------------------------------------------------------------------------
 
 ISSUE = "struct<type:string,n_tokens:int,n_chars:int,text:string,has_indic:boolean,has_latin:boolean>"
@@ -130,11 +137,11 @@ def audit(df: DataFrame, key: Column, order: str = "ord", file: list[str] | None
     if "entity_tokens" in df.columns:
         rules.append(_issue(cls.isin("digits", "currency", "addresses", "brands") & (F.coalesce(F.size("entity_tokens"), F.lit(0)) <= 0), "no_entity_tokens_warn", text=short))
     # rows without tokens don't enter the duplicate check
-    counted = df.withColumn("_key", key).withColumn("_empty", n == 0)
-    place = F.row_number().over(Window.partitionBy(*file, "_key", "_empty").orderBy(order))
-    rules.append(_issue(F.col("_place") > 1, "duplicate_within_file", text=F.substr(t, F.lit(1), F.lit(60))))
+    k, empty, place = spare(df, "_key", "_empty", "_place")
+    counted = df.withColumn(k, F.sha2(key, 256)).withColumn(empty, n == 0)
+    rules.append(_issue(F.col(place) > 1, "duplicate_within_file", text=F.substr(t, F.lit(1), F.lit(60))))
     issues = F.when(n == 0, F.array(_issue(F.lit(True), "empty_text"))).otherwise(F.filter(F.array(*rules), lambda x: x.isNotNull()))
-    return counted.withColumn("_place", place).withColumn("issues", issues).drop("_key", "_empty", "_place")
+    return counted.withColumn(place, _place(file, k, empty, order)).withColumn("issues", issues).drop(k, empty, place)
 
 
 def issue_counts(audited: DataFrame, by: list[str]) -> DataFrame:
@@ -145,8 +152,8 @@ def issue_counts(audited: DataFrame, by: list[str]) -> DataFrame:
 
 def first_examples(audited: DataFrame, order: list[str]) -> DataFrame:
     """Of each issue type, its first row."""
-    each = audited.select(*order, "text", F.explode("issues.type").alias("type"))
-    return each.withColumn("_n", F.row_number().over(Window.partitionBy("type").orderBy(*order))).where("_n = 1").drop("_n")
+    each = audited.select(F.struct(*order, "text").alias("row"), F.explode("issues.type").alias("type"))
+    return each.groupBy("type").agg(F.min("row").alias("row")).select("row.*", "type")
 
 
 def cross_class_duplicates(df: DataFrame, key: Column, group: list[str], cls: str, order: str, keep: int = 5) -> DataFrame:
@@ -193,21 +200,46 @@ def clean_reason(script_rules: bool = True) -> Column:
 def clean(df: DataFrame, key: Column, order: str = "ord", file: list[str] | None = None, script_rules: bool = True) -> DataFrame:
     """Rows with their drop reason (null: kept); later copies among the rows that passed are 'duplicate'."""
     file = file or ["lang", "entity_class"]
-    marked = df.withColumn("reason", clean_reason(script_rules)).withColumn("_key", key)
-    place = F.row_number().over(Window.partitionBy(*file, "_key", F.col("reason").isNull()).orderBy(order))
-    return marked.withColumn("_place", place).withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_place") > 1), "duplicate").otherwise(F.col("reason"))).drop("_key", "_place")
+    k, out, place = spare(df, "_key", "_out", "_place")
+    marked = df.withColumn("reason", clean_reason(script_rules)).withColumn(k, F.sha2(key, 256)).withColumn(out, F.col("reason").isNotNull())
+    marked = marked.withColumn(place, _place(file, k, out, order))
+    return marked.withColumn("reason", F.when(~F.col(out) & (F.col(place) > 1), "duplicate").otherwise(F.col("reason"))).drop(k, out, place)
 
 
 def renumber(cleaned: DataFrame, order: str = "ord", file: list[str] | None = None) -> DataFrame:
-    """Kept rows; where a file lost rows, ids run from 000000 in file order."""
+    """Kept rows; where a file lost rows, ids run from 000000 in file order.
+
+    Rows are written in order, kept ones first, so a file of any size is dealt over many tasks: a row's number is its place in
+    the part it was written to plus the file's kept rows in earlier parts.
+    """
     file = file or ["lang", "entity_class"]
-    dropped = F.max(F.col("reason").isNotNull()).over(Window.partitionBy(*file))
-    kept = cleaned.withColumn("_lost", dropped).where("reason is null")
-    no = F.row_number().over(Window.partitionBy(*file).orderBy(order)) - 1
+    names = [c for c in cleaned.columns if c != "reason"]
+    keys = [f"f{i}" for i in range(len(file))]
+    rows = cleaned.select(F.struct(*names).alias("row"), F.col("reason").isNotNull().alias("out"), F.col(order).alias("at"), *(F.col(f).alias(k) for f, k in zip(file, keys, strict=True)))
+    by = [*keys, "out", "at"]
+    rows = written(rows.repartitionByRange(*by).sortWithinPartitions(*by), "renumber")
+    part = F.split("_metadata.file_name", "-")[1].cast("int")
+    rows = rows.select("*", part.alias("part"), F.col("_metadata.row_index").alias("place"))
     # language and class of the first row that was kept
-    first = Window.partitionBy(*file).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    new = F.format_string("%s_%s_%06d", F.first("lang").over(first), F.first("entity_class").over(first), no)
-    return kept.withColumn("id", F.when(F.col("_lost"), new).otherwise(F.col("id").cast("string"))).drop("_lost", "reason")
+    first = F.min(F.when(~F.col("out"), F.struct("at", F.col("row.lang").alias("lang"), F.col("row.entity_class").alias("entity_class"))))
+    files = rows.groupBy(*keys).agg(F.max("out").alias("lost"), first.alias("first"))
+    kept = rows.where(~F.col("out"))
+    parts = kept.groupBy(*keys, "part").agg(F.min("place").alias("from"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*keys, "part", (before - F.col("from")).alias("shift"))
+
+    def same(a: DataFrame, b: DataFrame, *more: str) -> Column:
+        out = F.lit(True)
+        for c in (*keys, *more):
+            out = out & a[c].eqNullSafe(b[c])
+        return out
+
+    f, p = files.alias("f"), parts.alias("p")
+    shifts = p.join(f, same(parts, files)).select(*(F.col(f"p.{c}") for c in (*keys, "part", "shift")), "lost", "first")
+    joined = kept.join(shifts, same(kept, shifts, "part"))
+    new = F.format_string("%s_%s_%06d", "first.lang", "first.entity_class", F.col("place") + F.col("shift"))
+    ids = F.when(F.col("lost"), new).otherwise(F.col("row.id").cast("string"))
+    return joined.select(*(ids.alias("id") if c == "id" else F.col("row").getField(c).alias(c) for c in names))
 
 
 def reason_counts(cleaned: DataFrame, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lipika.functions.lexicon import SPELLED_DIGITS
 from lipika.functions.text import replace_first, spell_digits, text
 from lipika.sources import sinks
+from lipika.sources.scratch import spare
 
 SPELLED_TYPES = ["pincode", "phone", "digit_run"]
 #: Plot numbers are respelled from so many characters on.
@@ -35,8 +36,9 @@ def rewrite(df: DataFrame) -> DataFrame:
 
     done = F.aggregate(F.array_sort(keyed), F.struct(text("text").alias("text"), F.lit(False).alias("changed")), step)
     known = F.coalesce(F.col("lang").isin(list(SPELLED_DIGITS)), F.lit(False))
-    out = df.withColumn("_done", F.when(known, done).otherwise(F.struct(F.col("text").alias("text"), F.lit(False).alias("changed"))))
-    return out.withColumn("text_original", F.when(F.col("_done.changed"), F.col("text"))).withColumn("text", F.col("_done.text")).withColumn("changed", F.col("_done.changed")).drop("_done")
+    (d,) = spare(df, "_done")
+    out = df.withColumn(d, F.when(known, done).otherwise(F.struct(F.col("text").alias("text"), F.lit(False).alias("changed"))))
+    return out.withColumn("text_original", F.when(F.col(f"{d}.changed"), F.col("text"))).withColumn("text", F.col(f"{d}.text")).withColumn("changed", F.col(f"{d}.changed")).drop(d)
 
 
 def changed_counts(rewritten: DataFrame) -> DataFrame:

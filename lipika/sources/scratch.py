@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -17,3 +17,21 @@ def scratch(spark: SparkSession, name: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="lipika-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lipika/{name}-{uuid.uuid4().hex}"
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that are not among df's columns, however upper and lower case are written."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

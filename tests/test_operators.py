@@ -250,3 +250,28 @@ def test_surfaces_may_hold_any_character(spark):
     row = [("1", "te", "x", "a\x01b c", [("a\x01b", 0, 3, "house"), (None, 0, 0, "house"), ("C", 0, 1, "house")])]
     df = spark.createDataFrame(row, f"id string, lang string, text string, hypothesis string, entity_tokens {TOK}")
     assert m.score_tokens(df).select("hits").first()[0] == [True, True, True]
+
+
+def test_renumber_over_many_parts(spark):
+    rows = [(i, f"id{i}", "te" if i % 2 else None, "digits", "x" if i % 5 else None, "keep") for i in range(400)]
+    df = spark.createDataFrame(rows, "ord long, id string, lang string, entity_class string, reason string, _lost string")
+    df = df.withColumn("reason", F.when(F.col("reason").isNull(), "bad")).withColumn("part", F.lit(7)).repartition(5)
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = q.renumber(df, file=["lang"]).orderBy("ord").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    want, n = [], {"te": 0, None: 0}
+    for i, _, lang, *_ in rows:
+        if i % 5:
+            want.append((i, f"{'null' if lang is None else lang}_digits_{n[lang]:06d}", "keep", 7))
+            n[lang] += 1
+    assert [(r.ord, r.id, r._lost, r.part) for r in got] == want
+
+
+def test_names_that_clash(spark):
+    df = utterances(spark).withColumns({c: F.lit("mine") for c in ("_key", "_empty", "_place", "_out", "_done")})
+    for out in (q.audit(df, audit_key("text")), q.clean(df, key_norm("text"))):
+        assert {(r._key, r._empty, r._place, r._out, r._done) for r in out.collect()} == {("mine",) * 5}
+    assert {r._done for r in rewrite(df).collect()} == {"mine"}
