@@ -157,11 +157,19 @@ def first_examples(audited: DataFrame, order: list[str]) -> DataFrame:
 
 
 def cross_class_duplicates(df: DataFrame, key: Column, group: list[str], cls: str, order: str, keep: int = 5) -> DataFrame:
-    """Texts that occur in two or more classes of a group: number of classes and rows, first instances."""
-    each = df.withColumn("key", key)
-    ranked = each.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "key").orderBy(order)))
-    first = F.sort_array(F.collect_list(F.when(F.col("_n") <= keep, F.struct(order, cls))))
-    return ranked.groupBy(*group, "key").agg(F.count_distinct(cls).alias("n_classes"), F.count("*").alias("n_rows"), first.alias("instances")).where("n_classes > 1")
+    """Texts that occur in two or more classes of a group: number of classes and rows, first instances.
+
+    Counts are made by class and then by text, and only the first `keep` rows of a text in each task are ranked, so a text
+    that many rows hold (the empty one) is not sorted by one task.
+    """
+    each = df.select(*group, key.alias("key"), F.col(cls).alias("class"), F.struct(order, cls).alias("row"), F.col(order).alias("at"))
+    by = [*group, "key"]
+    counts = each.groupBy(*by, "class").agg(F.count("*").alias("n")).groupBy(*by).agg(F.count("class").alias("n_classes"), F.sum("n").alias("n_rows")).where("n_classes > 1")
+    ranked = each.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("at"))).where(F.col("nth") <= keep)
+    first = ranked.groupBy(*by).agg(F.sort_array(F.collect_list("row")).alias("instances"))
+    c, f = counts.alias("c"), first.alias("f")
+    same = [F.col(f"c.{x}").eqNullSafe(F.col(f"f.{x}")) for x in by]
+    return c.join(f, same).select("c.*", "f.instances")
 
 
 # --- cleaning ---------------------------------------------------------------------------------

@@ -48,7 +48,8 @@ def changed_counts(rewritten: DataFrame) -> DataFrame:
 
 def preview(rewritten: DataFrame, order: str, k: int = 5) -> DataFrame:
     """First k changed rows of each language."""
-    return rewritten.where("changed").withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(order))).where(F.col("_n") <= k).drop("_n")
+    (n,) = spare(rewritten, "_n")
+    return rewritten.where("changed").withColumn(n, F.row_number().over(Window.partitionBy("lang").orderBy(order))).where(F.col(n) <= k).drop(n)
 
 
 def rewrite_corpus(df: DataFrame, path: str, listed: str, clip: str = "audio_path") -> DataFrame:

@@ -47,16 +47,13 @@ def plain_tight(c: Column | str) -> Column:
     return F.replace(text(c), F.lit(" "), F.lit(""))
 
 
-def opening_pairs(docs: DataFrame) -> DataFrame:
-    """Documents of the same first 40 characters: the lowest doc_id is the reference, every other one a hypothesis.
+#: What the simulated transcriber never writes.
+UNHEARD = "jJzZvV7,"
 
-    id, lang, source, text, hypothesis, entity_class.
-    """
-    keyed = docs.where("text is not null").withColumn("head", F.substring("text", 1, 40))
-    first = keyed.groupBy("head").agg(F.min("doc_id").alias("ref_id"), F.count("*").alias("n")).where("n > 1")
-    others = keyed.join(first.select("head", "ref_id"), "head").where("doc_id <> ref_id").select(F.col("doc_id").alias("id"), "lang", "source", F.col("text").alias("hypothesis"), "ref_id")
-    refs = docs.join(first.select("ref_id"), F.col("doc_id") == F.col("ref_id"), "left_semi").select(F.col("doc_id").alias("ref_id"), "text")
-    return others.join(refs, "ref_id").withColumn("entity_class", F.lit("codemix"))
+
+def spoken_pairs(docs: DataFrame) -> DataFrame:
+    """Every line of each document as a reference; the hypothesis is the whole line as a transcriber writes it who misses UNHEARD."""
+    return sentences(docs).withColumn("hypothesis", F.translate("text", UNHEARD, ""))
 
 
 # --- DuckDB -----------------------------------------------------------------------------------
@@ -77,8 +74,5 @@ SQL_SENTENCES = f"""sentences AS (
          lines[line + 1] AS text, doc_id * {LINES} + line AS ord
   FROM (SELECT *, unnest(range(len(lines))) AS line FROM (SELECT doc_id, lang, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)))"""
 
-SQL_PAIRS = """heads AS (SELECT substr(text, 1, 40) AS head, min(doc_id) AS ref_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
-pairs AS (
-  SELECT d.doc_id AS id, d.lang, d.source, d.text AS hypothesis, r.text AS text
-  FROM documents d JOIN heads h ON substr(d.text, 1, 40) = h.head JOIN documents r ON r.doc_id = h.ref_id
-  WHERE d.doc_id <> h.ref_id)"""
+SQL_PAIRS = f"""{SQL_SENTENCES},
+pairs AS (SELECT *, translate(text, '{UNHEARD}', '') AS hypothesis FROM sentences)"""

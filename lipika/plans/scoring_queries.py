@@ -11,15 +11,15 @@ from lipika.functions.text import once, plain_norm, script_fidelity
 from lipika.operators import metrics as m
 from lipika.operators import planning as pl
 from lipika.operators import relational as rel
-from lipika.plans.base import SQL_PAIRS, SQL_SENTENCES, opening_pairs, plain_tight, query, sentences, sql_norm, table
+from lipika.plans.base import SQL_PAIRS, SQL_SENTENCES, plain_tight, query, sentences, spoken_pairs, sql_norm, table
 
 
 def tagged_pairs(spark: SparkSession, sf_dir: str, cls: str = "codemix") -> DataFrame:
-    """Opening pairs whose references are tagged; a token is a surface and its type, without offsets."""
+    """Spoken pairs whose references are tagged; a token is a surface and its type, without offsets."""
     kind, pattern = tagger.PATTERNS[cls]
     surfaces = tagger.surfaces("text", pattern)
     tokens = F.transform(surfaces, lambda s: F.struct(s.alias("surface"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(kind).alias("type")))
-    return opening_pairs(table(spark, sf_dir, "documents")).withColumn("entity_tokens", tokens)
+    return spoken_pairs(table(spark, sf_dir, "documents")).withColumn("entity_tokens", tokens)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +28,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOAN = "[A-Za-z][A-Za-z0-9''-]*"
 _SCORES = f"""{SQL_PAIRS},
-scores AS (SELECT *, len(regexp_extract_all(text, '{_LOAN}')) AS n_tokens,
-  len(list_filter(regexp_extract_all(text, '{_LOAN}'), lambda s: contains({sql_norm('hypothesis')}, lower(s)))) AS n_hits FROM pairs)"""
+found AS (SELECT *, regexp_extract_all(text, '{_LOAN}') AS m, {sql_norm('hypothesis')} AS norm FROM pairs),
+scores AS (SELECT *, len(m) AS n_tokens, len(list_filter(m, lambda s: contains(norm, lower(s)))) AS n_hits FROM found)"""
 _EHR = "coalesce(round(CAST(sum(n_hits) AS DOUBLE) / nullif(sum(n_tokens), 0), 4), 0.0)"
 
 
@@ -171,20 +171,24 @@ def scorecard_indic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.scorecard(rows.withColumn("entity_tokens", F.array(token)), ["lang"]).drop("cer")
 
 
+LATE = "^[^ ]* ?"
+
+
 def _systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three systems' hypotheses for each opening pair, in long form, scored row by row."""
-    wide = tagged_pairs(spark, sf_dir).withColumn("sys_cut", F.substring("hypothesis", 1, 80)).withColumn("sys_blank", F.when(F.col("id") % 5 == 0, "").otherwise(F.col("hypothesis"))).withColumnRenamed("hypothesis", "sys_same")
+    """Three systems' hypotheses for each spoken pair, in long form, scored row by row: one starts a word late, one is silent at times."""
+    wide = tagged_pairs(spark, sf_dir).withColumn("sys_late", F.regexp_replace("hypothesis", LATE, "")).withColumn("sys_blank", F.when(F.col("ord") % 5 == 0, "").otherwise(F.col("hypothesis"))).withColumnRenamed("hypothesis", "sys_same")
     # what the reference gives is made before its rows are tripled
-    long = m.long_form(wide.withColumn("norms", m.token_norms(plain_norm)).drop("text"), {"cut": "sys_cut", "blank": "sys_blank", "same": "sys_same"})
+    long = m.long_form(wide.withColumn("norms", m.token_norms(plain_norm)).drop("text"), {"late": "sys_late", "blank": "sys_blank", "same": "sys_same"})
     scored = m.score_tokens(long, norm=plain_norm, tight_form=plain_tight, norms="norms")
     return m.row_scores_only(scored).withColumn("sfr", script_fidelity("hypothesis", F.lit("en")))
 
 
 _SYSTEMS = f"""{SQL_PAIRS}, long AS (
-  SELECT id, lang, source, text, 'cut' AS system, substr(hypothesis, 1, 80) AS hypothesis FROM pairs UNION ALL SELECT id, lang, source, text, 'blank', CASE WHEN id % 5 = 0 THEN '' ELSE hypothesis END FROM pairs
+  SELECT id, lang, source, text, 'late' AS system, regexp_replace(hypothesis, '{LATE}', '') AS hypothesis FROM pairs UNION ALL SELECT id, lang, source, text, 'blank', CASE WHEN ord % 5 = 0 THEN '' ELSE hypothesis END FROM pairs
   UNION ALL SELECT id, lang, source, text, 'same', hypothesis FROM pairs),
-rows_ AS (SELECT *, len(regexp_extract_all(text, '{_LOAN}')) AS n_tokens, len(list_filter(regexp_extract_all(text, '{_LOAN}'), lambda s: contains({sql_norm('hypothesis')}, lower(s)))) AS n_hits,
-  coalesce(length(regexp_replace(hypothesis, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace(hypothesis, '[^\\p{{L}}]', '', 'g')), 0), 1.0) AS sfr FROM long),
+found AS (SELECT *, regexp_extract_all(text, '{_LOAN}') AS m, {sql_norm('hypothesis')} AS norm FROM long),
+rows_ AS (SELECT *, len(m) AS n_tokens, len(list_filter(m, lambda s: contains(norm, lower(s)))) AS n_hits,
+  coalesce(length(regexp_replace(hypothesis, '[^A-Za-z]', '', 'g')) / nullif(length(regexp_replace(hypothesis, '[^\\p{{L}}]', '', 'g')), 0), 1.0) AS sfr FROM found),
 cards AS (SELECT system, lang, count(*) AS n, CAST(sum(n_hits) AS BIGINT) AS n_hits, CAST(sum(n_tokens) AS BIGINT) AS n_tokens, {_EHR} AS ehr, round(avg(sfr), 4) AS sfr_mean, count(*) FILTER (trim(hypothesis) = '') AS n_empty_hyp FROM rows_ GROUP BY system, lang)"""
 
 

@@ -275,3 +275,21 @@ def test_names_that_clash(spark):
     for out in (q.audit(df, audit_key("text")), q.clean(df, key_norm("text"))):
         assert {(r._key, r._empty, r._place, r._out, r._done) for r in out.collect()} == {("mine",) * 5}
     assert {r._done for r in rewrite(df).collect()} == {"mine"}
+
+
+def test_names_that_clash_in_joins_and_samples(spark):
+    df = spark.createDataFrame([(1, "a", "k1", "k2", "k3"), (2, "a", "l1", "l2", "l3"), (3, "b", "m1", "m2", "m3")], "ord int, id string, _n string, _key string, _h string")
+    assert sorted(rel.keep_first(df, F.col("id"), "ord").select("_n", "_key").collect()) == [("k1", "k2"), ("m1", "m2")]
+    assert sorted(rel.keep_last(df, ["id"], "ord").select("_n", "_key").collect()) == [("l1", "l2"), ("m1", "m2")]
+    assert sorted(x._n for x in rel.stratified(df, "id", 5, "ord").collect()) == ["k1", "l1", "m1"]
+    assert sorted(x._n for x in rel.balanced(df, "id", 3, 2, "ord").collect()) == ["k1", "l1", "m1"]
+    texts = df.select("*", F.col("id").alias("text"))
+    assert [x._h for x in rel.without_leaks(texts, texts.where("id = 'a'"), lambda c: F.col(c)).collect()] == ["m3"]
+
+
+def test_cross_class_duplicates_of_null_groups(spark):
+    rows = [(i, "", None, "ab"[i % 2]) for i in range(40)] + [(50, "x", "en", "a"), (51, "x", "en", "a"), (52, "y", "en", "a")]
+    df = spark.createDataFrame(rows, "ord int, text string, lang string, cls string")
+    (got,) = q.cross_class_duplicates(df, F.col("text"), ["lang"], "cls", "ord").collect()
+    assert (got.lang, got.key, got.n_classes, got.n_rows) == (None, "", 2, 40)
+    assert [tuple(x) for x in got.instances] == [(0, "a"), (1, "b"), (2, "a"), (3, "b"), (4, "a")]
